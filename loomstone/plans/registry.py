@@ -1,0 +1,18 @@
+"""Queries by name, and the DuckDB SQL that each must equal."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+
+def query(name: str, oracle: str | None = None):
+    """Register a (spark, sf_dir) -> DataFrame function under a name, with its DuckDB SQL."""
+
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return add
