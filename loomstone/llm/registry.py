@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import importlib
-
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -18,9 +16,3 @@ def query(name: str, oracle: str | None = None):
         return f
 
     return add
-
-
-MODULES = ["mixing"]
-
-for _module in MODULES:
-    importlib.import_module(f"loomstone.llm.{_module}")
