@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from . import matroska, mixing, quality, topk  # noqa: F401
+from . import matroska, mixing, quality, simhash, topk  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
