@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from . import html, matroska, mixing, quality, simhash, topk  # noqa: F401
+from . import html, matroska, mixing, quality, simhash, substring, topk  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
