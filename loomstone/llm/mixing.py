@@ -39,8 +39,8 @@ def water_fill(sources: DataFrame, share: float, epochs: float) -> DataFrame:
     order = Window.orderBy(fill, F.col("source").isNull(), "source")
     before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     left = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    level = F.max(F.when(F.col("clamped"), None).otherwise(F.col("level"))).over(Window.partitionBy())
-    first = F.min(F.when(~F.col("clamped"), F.col("level"))).over(Window.partitionBy())
+    # levels rise as sources are clamped and fall after, so the first unclamped source has the highest of the rest
+    first = F.max(F.when(~F.col("clamped"), F.col("level"))).over(Window.partitionBy())
     total = F.sum("source_size").over(Window.partitionBy()) * F.lit(float(share))
     return (
         sources.withColumn("weight", F.col("weight").cast("double"))
@@ -54,40 +54,40 @@ def water_fill(sources: DataFrame, share: float, epochs: float) -> DataFrame:
     )
 
 
-def mix(sized: DataFrame, targets: DataFrame, seed: str, written_as: str = "mix") -> DataFrame:
-    """sized (doc_id, source, size) and targets (source, source_size, target) -> with source_size, target, copies, taken.
+def mix(rows: DataFrame, sized: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
+    """rows (doc_id, source, size and more) -> with source_size, target, copies, taken.
 
-    A source with target t and size s takes each document floor(t / s) times, and once more those first in
-    a seeded hash order whose words fill the rest; the sum is within half a document of the target. The hash
-    order is never sorted whole: words are summed in 16**3 bins of the hash a source, the bin in which the
-    rest is filled is split again, and only rows of the last, 16**9th part of a source are put in order.
-    Null sources are a source of their own; null ids hash as the text "null"; documents of no words are
-    taken as often as the others.
+    sized has the rows' doc_id, source and size, written; targets has source, source_size, target. A source
+    with target t and size s takes each document floor(t / s) times, and once more those first in a seeded hash
+    order whose words fill the rest; the sum is within half a document of the target. The hash order is never
+    sorted whole: words are summed in 16**3 bins of the hash a source, the bin in which the rest is filled is
+    split again, and only rows of the last, 16**9th part of a source are put in order. Null sources are a source
+    of their own; null ids hash as the text "null"; documents of no words are taken as often as the others, but
+    never where the whole source has no words.
     """
     code = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    goal = targets.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    keyed = sized.withColumn("code", code)
+    goal = targets.withColumn("whole_", whole).withColumn("rest_", F.col("target") - F.col("whole_") * F.col("source_size"))
+    keyed = sized.withColumn("code_", code)
     # cut: hash prefix of the bin in which the rest is filled, so far; room: words still to fill inside it
-    cuts = goal.select("source", F.lit("").alias("cut"), F.col("rest").alias("room"))
+    cuts = goal.select("source", F.lit("").alias("cut_"), F.col("rest_").alias("room_"))
     for level in range(LEVELS):
-        inside = keyed if level == 0 else _with_source(keyed, cuts).filter(F.substring("code", 1, level * DIGITS) == F.col("cut"))
-        bins = inside.groupBy("source", F.substring("code", 1, (level + 1) * DIGITS).alias("bin")).agg(F.sum("size").alias("words"))
+        inside = keyed if level == 0 else _with_source(keyed, cuts).filter(F.substring("code_", 1, level * DIGITS) == F.col("cut_"))
+        bins = inside.groupBy("source", F.substring("code_", 1, (level + 1) * DIGITS).alias("bin")).agg(F.sum("size").alias("words"))
         run = Window.partitionBy("source").orderBy("bin")
         below = F.coalesce(F.sum("words").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         binned = _with_source(bins, cuts).withColumn("below", below)
         # the last bin that begins below the room: what comes before it is taken whole
-        at = binned.filter(F.col("below") <= F.col("room")).groupBy("source").agg(F.max(F.struct("bin", (F.col("room") - F.col("below")).alias("room"))).alias("last"))
-        cuts = at.select("source", F.col("last.bin").alias("cut"), F.col("last.room").alias("room"))
-        cuts = written(cuts, f"{written_as}-cuts{level}")
-    goal = goal.join(cuts.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
-    full = _with_source(keyed, goal)
-    prefix = F.substring("code", 1, LEVELS * DIGITS)
-    order = Window.partitionBy("source").orderBy("code", "doc_id", "size")
+        at = binned.filter(F.col("below") <= F.col("room_")).groupBy("source").agg(F.max(F.struct("bin", (F.col("room_") - F.col("below")).alias("room"))).alias("last"))
+        cuts = written(at.select("source", F.col("last.bin").alias("cut_"), F.col("last.room").alias("room_")), f"mix-cuts{level}")
+    full = _with_source(rows.withColumn("code_", code), _with_source(goal, cuts))
+    prefix = F.substring("code_", 1, LEVELS * DIGITS)
+    order = Window.partitionBy("source").orderBy("code_", "doc_id", "size")
     before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = full.filter(prefix == F.col("cut")).withColumn("more", (before * 2 + F.col("size") <= F.col("room") * 2).cast("long"))
-    rest = full.filter(F.col("cut").isNull() | (prefix != F.col("cut"))).withColumn("more", F.coalesce((prefix < F.col("cut")).cast("long"), F.lit(0).cast("long")))
-    return rest.unionByName(edge).withColumn("copies", F.col("whole") + F.col("more")).withColumn("taken", F.col("copies") * F.col("size")).drop("code", "cut", "room", "more", "whole", "rest")
+    edge = full.filter(prefix == F.col("cut_")).withColumn("more_", (before * 2 + F.col("size") <= F.col("room_") * 2).cast("long"))
+    rest = full.filter(F.col("cut_").isNull() | (prefix != F.col("cut_"))).withColumn("more_", F.coalesce((prefix < F.col("cut_")).cast("long"), F.lit(0).cast("long")))
+    out = rest.unionByName(edge).withColumn("copies", F.col("whole_") + F.col("more_")).withColumn("taken", F.col("copies") * F.col("size"))
+    return out.drop("code_", "cut_", "room_", "more_", "whole_", "rest_")
 
 
 def _with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -96,13 +96,23 @@ def _with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(named, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
 
 
-def mixed(documents: DataFrame, weights: list[float], share: float, epochs: float, seed: str, keep: list[str] | None = None) -> DataFrame:
-    """The mix of documents (doc_id, source, text): one row a document, with how often the mix takes it."""
-    sized = documents.select("doc_id", "source", *(keep or []), word_count(F.col("text")).alias("size"))
-    sized = written(sized, "mix-sizes")
+def mixed(documents: DataFrame, weights: list[float], share: float, epochs: float, seed: str, columns: list[str] = ()) -> DataFrame:
+    """The mix of documents (doc_id, source, text): one row a document with size, source_size, target, copies, taken.
+
+    `columns` are further columns of the documents to keep; other columns named like a result are left out.
+    """
+    sized = written(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = written(water_fill(source_weights(sources, weights), share, epochs), "mix-targets")
-    return mix(sized, targets, seed)
+    targets = written(water_fill(source_weights(sources, weights), share, epochs).drop("weight"), "mix-targets")
+    keep = [c for c in columns if c not in ("doc_id", "source", "size", "source_size", "target", "copies", "taken")]
+    rows = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), *keep) if keep else sized
+    return mix(rows, sized, targets, seed)
+
+
+def repeated(documents: DataFrame, weights: list[float], share: float, epochs: float, seed: str) -> DataFrame:
+    """The mix itself: the documents' own columns, each row as often as the mix takes it."""
+    plan = mixed(documents, weights, share, epochs, seed, documents.columns)
+    return plan.withColumn("copy_", F.explode(F.expr("array_repeat(1, cast(copies as int))"))).select(*documents.columns)
 
 
 ORACLE = r"""
@@ -118,7 +128,7 @@ levels AS (
   SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM caps),
 goals AS (
-  SELECT source, source_size, CASE WHEN cap / weight <= level THEN cap ELSE least(cap, weight * (SELECT min(level) FROM levels WHERE cap / weight > level)) END AS target FROM levels),
+  SELECT source, source_size, CASE WHEN cap / weight <= level THEN cap ELSE least(cap, weight * (SELECT max(level) FROM levels WHERE cap / weight > level)) END AS target FROM levels),
 ordered AS (
   SELECT s.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN CAST(floor(g.target / g.source_size) AS BIGINT) ELSE 0 END AS whole,
          coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY code, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before

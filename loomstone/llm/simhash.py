@@ -192,6 +192,24 @@ def near_groups(marked: DataFrame, bits: int = 3, width: int = 1) -> DataFrame:
     return marked.withColumn("node", node).join(named, "node").drop("node")
 
 
+#: For texts alike in 0.8 or more of their 5-word shingles: 64-bit words of a fingerprint, differing bits allowed.
+#: Such texts differ in about 39 of 256 bits, with a deviation of 6; unrelated ones in about 128, with one of 8.
+NEAR_SHINGLE, NEAR_WIDTH, NEAR_BITS = 5, 4, 52
+
+
+def near_deduplicated(documents: DataFrame) -> DataFrame:
+    """One document of each group of near copies: the one of the smallest id; of its repeated rows one.
+
+    A row with a null id stays if no document with an id is like it.
+    """
+    marked = written(fingerprinted(documents, NEAR_SHINGLE, NEAR_WIDTH), "simhash-marked")
+    groups = near_groups(marked, NEAR_BITS, NEAR_WIDTH)
+    kept = groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias("kept_")).distinct()
+    rows = documents.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_")), "left_semi")
+    # rows of one id, equal or not, are copies of one document
+    return rows.dropDuplicates(["doc_id"]) if "doc_id" in documents.columns else rows
+
+
 @query("op4_simhash")
 def op4_simhash(spark, sf_dir):
     """Fingerprints of 3-word shingles of all documents, linked at 3 or fewer differing bits."""
