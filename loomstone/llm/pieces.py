@@ -26,8 +26,9 @@ from .words import mixed, spans_hash
 MODEL = "piece_bpe_32k.model"
 #: The mark that stands for a space.
 SPACE = "▁"
+NONE = float("-inf")
 #: Units of the broadcast dictionary at most, and characters of a unit in it.
-DICTIONARY, LONGEST = 1 << 20, 60
+DICTIONARY, LONGEST = 1 << 18, 60
 
 
 class Vocabulary:
@@ -68,8 +69,35 @@ class Vocabulary:
         n = self.number[np.minimum(points, len(self.number) - 1)]
         return ~self.neighbours[n[:-1], n[1:]]
 
+    def ids_of(self, pieces) -> list[int]:
+        """Ids of pieces; what isn't one is given byte by byte."""
+        out: list[int] = []
+        for p in pieces:
+            known = self.ids.get(p)
+            if known is None:
+                out += self.bytes[list(p.encode())].tolist()
+            else:
+                out.append(known)
+        return out
+
     def merged(self, unit: str) -> list[int]:
         """A unit's ids by merging the best neighbours until none can be: the plain rule, for any length."""
+        if len(unit) > LONGEST:
+            return self.ids_of(self._merged_long(unit))
+        score, parts = self.score.get, list(unit)
+        found = [score(a + b, NONE) for a, b in zip(parts, parts[1:])]
+        while found and (best := max(found)) > NONE:
+            i = found.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del found[i]
+            if i:
+                found[i - 1] = score(parts[i - 1] + parts[i], NONE)
+            if i < len(found):
+                found[i] = score(parts[i] + parts[i + 1], NONE)
+        return self.ids_of(parts)
+
+    def _merged_long(self, unit: str) -> list[str]:
+        """The same with a queue, for units in which a search for the best would take too long."""
         parts: list[str | None] = list(unit)
         before, after = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
         queue: list = []
@@ -93,11 +121,7 @@ class Vocabulary:
             offer(i)
             if before[i] >= 0:
                 offer(before[i])
-        out: list[int] = []
-        for p in parts:
-            if p is not None:
-                out += [self.ids[p]] if p in self.ids else self.bytes[list(p.encode())].tolist()
-        return out
+        return [p for p in parts if p is not None]
 
     def decoded(self, ids) -> str:
         """The text of ids, without the space that stands before every text."""
@@ -139,7 +163,7 @@ def unit_counts(documents: DataFrame, path: str) -> DataFrame:
     def run(batches):
         words = vocabulary(path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 units = Units(part.column(0), words)
                 short = np.nonzero(units.end - units.begin <= LONGEST)[0]
                 _, at, n = np.unique(units.hash[short], return_index=True, return_counts=True)
@@ -149,29 +173,32 @@ def unit_counts(documents: DataFrame, path: str) -> DataFrame:
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """piece, id, rank (small for a good score): as many rows as the vocabulary has."""
+    """piece, rank (small for a good score) of the pieces of two characters or more: at most as many rows as the vocabulary has."""
     words = vocabulary(path)
-    return spark.createDataFrame([(p, i, -words.score[p]) for p, i in words.ids.items()], "piece string, id int, rank double")
+    return spark.createDataFrame([(p, -words.score[p]) for p in words.ids if len(p) > 1], "piece string, rank double")
 
 
 def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """unit, edges: the pieces in it as rank, start, ends (bits of both ends), inner (bits between), id; sorted."""
+    """unit, edges: the pieces of two characters or more in it as rank, start, ends (bits of both ends), inner (bits between); sorted.
+
+    units must be partitioned by unit, so that a unit's edges are grouped where they are made.
+    """
     n = F.length("unit")
     spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - i)), lambda k: F.struct(i.alias("start"), k.alias("size")))))
     exploded = units.filter(n > 0).select("unit", F.explode(spans).alias("s")).select("unit", "s.start", "s.size", F.expr("substring(unit, s.start + 1, s.size)").alias("piece"))
+    # of the substrings of one character, which are no edges, the first keeps a unit without edges in the table
+    kept = exploded.filter("size > 1 or start = 0")
     bit = lambda at: f"shiftleft(1L, {at})"
-    edge = F.struct(
-        "rank", "start",
-        F.expr(f"{bit('start')} | {bit('start + size')}").alias("ends"),
-        F.expr(f"({bit('start + size')} - 1) ^ ({bit('start + 1')} - 1)").alias("inner"),
-        "id",
-    )
-    joined = exploded.join(F.broadcast(pieces), "piece", "left")
-    return joined.groupBy("unit").agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), edge))).alias("edges"))
+    edge = F.struct("rank", "start", F.expr(f"{bit('start')} | {bit('start + size')}").alias("ends"), F.expr(f"({bit('start + size')} - 1) ^ ({bit('start + 1')} - 1)").alias("inner"))
+    joined = kept.join(F.broadcast(pieces), "piece", "left")
+    return joined.groupBy("unit").agg(F.sort_array(F.collect_list(F.when(F.col("rank").isNotNull(), edge))).alias("edges"))
+
 
+def folded(edges: DataFrame) -> DataFrame:
+    """unit, edges -> unit, pieces, whole: the fold's pieces, and whether no edge was left that could join.
 
-def folded(edges: DataFrame, byte_ids: list[int]) -> DataFrame:
-    """unit, edges -> unit, ids, whole: the fold's ids, and whether no edge was left that could join."""
+    The state is a number whose bits are the boundaries between pieces, at first all.
+    """
 
     def joins(mask, e):
         inside = mask.bitwiseAND(e["inner"])
@@ -180,20 +207,9 @@ def folded(edges: DataFrame, byte_ids: list[int]) -> DataFrame:
     start = F.expr("shiftleft(1L, length(unit) + 1) - 1")
     mask = F.aggregate("edges", start, lambda m, e: F.when(joins(m, e), m.bitwiseXOR(m.bitwiseAND(e["inner"]))).otherwise(m))
     marked = edges.withColumn("mask", mask).withColumn("whole", ~F.exists("edges", lambda e: joins(F.col("mask"), e)))
-    bounds = F.filter(F.sequence(F.lit(0), F.length("unit")), lambda p: F.expr("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), p)) != 0)
-    cut = marked.withColumn("bounds", bounds)
-    number = F.lit(byte_ids)
-
-    def of(i):
-        a, b = F.get("bounds", i), F.get("bounds", i + 1)
-        ends = F.call_function("shiftleft", F.lit(1).cast("long"), a).bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))
-        found = F.filter("edges", lambda e: e["ends"] == ends)
-        data = F.hex(F.encode(F.substring(F.col("unit"), a + 1, F.lit(1)), "utf-8"))
-        fallback = F.transform(F.sequence(F.lit(0), (F.length(data) / 2).cast("int") - 1), lambda k: F.get(number, F.conv(F.substring(data, k * 2 + 1, F.lit(2)), 16, 10).cast("int")))
-        return F.when(F.size(found) > 0, F.array(F.get(found, 0)["id"])).otherwise(fallback)
-
-    ids = F.flatten(F.transform(F.sequence(F.lit(0), F.size("bounds") - 2), of))
-    return cut.select("unit", ids.alias("ids"), "whole")
+    bounds = F.expr("filter(sequence(0, length(unit)), p -> (mask & shiftleft(1L, p)) != 0)")
+    pieces = F.expr("transform(sequence(1, size(bounds) - 1), i -> substring(unit, bounds[i - 1] + 1, bounds[i] - bounds[i - 1]))")
+    return marked.withColumn("bounds", bounds).select("unit", pieces.alias("pieces"), "whole")
 
 
 class Dictionary:
@@ -243,11 +259,11 @@ def dictionary(documents: DataFrame, path: str, most: int = DICTIONARY) -> Dicti
         total += seen.get(least, 0)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 20_000)
     chosen = counts.filter(F.floor(F.log2("n")) >= least).select("unit").repartition(parts, "unit")
-    found = folded(lattice(chosen, piece_table(spark, path), words.longest), words.bytes.tolist()).filter("whole").select("unit", "ids")
+    found = folded(lattice(chosen, piece_table(spark, path), words.longest)).filter("whole").select("unit", "pieces")
     units, ids = [], []
     for batch in found.toArrow().to_batches():
         units += batch.column(0).to_pylist()
-        ids += batch.column(1).to_pylist()
+        ids += map(words.ids_of, batch.column(1).to_pylist())
     return Dictionary(units, ids)
 
 
@@ -263,7 +279,7 @@ def encode_column(column: pa.Array, words: Vocabulary, known: Dictionary, memo:
         unit = units[k]
         ids = memo.get(unit)
         if ids is None:
-            if len(memo) > 200_000:
+            if len(memo) > 100_000:
                 memo.clear()
             ids = words.merged(unit)
             if len(unit) <= LONGEST:
@@ -276,40 +292,36 @@ def encode_column(column: pa.Array, words: Vocabulary, known: Dictionary, memo:
     return out, total[units.first]
 
 
-def encoded(documents: DataFrame, path: str, most: int = DICTIONARY) -> DataFrame:
-    """documents with a column ids (array<int>): what the model's own encoder gives. Null and empty texts have none."""
+def encoded(documents: DataFrame, path: str, most: int = DICTIONARY, digest: bool = False) -> DataFrame:
+    """documents with a column ids (array<int>): what the model's own encoder gives. Null and empty texts have none.
+
+    With digest, instead doc_id, n_pieces, ids_crc32 (of little-endian 32-bit ids), round_trip (whether decoding
+    gives the text).
+    """
     held = documents.sparkSession.sparkContext.broadcast(dictionary(documents, path, most))
-    names = [c for c in documents.columns if c != "ids"]
-    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+    names = ["doc_id", "text"] if digest else [c for c in documents.columns if c != "ids"]
+    from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
-    schema = StructType([*(documents.schema[c] for c in names), StructField("ids", ArrayType(IntegerType()))])
+    new = [StructField("n_pieces", LongType()), StructField("ids_crc32", LongType()), StructField("round_trip", BooleanType())] if digest else [StructField("ids", ArrayType(IntegerType()))]
+    schema = StructType([*(documents.schema[c] for c in names if not digest or c != "text"), *new])
 
     def run(batches):
         words, memo = vocabulary(path), {}
         for batch in batches:
-            for part in slices(batch, "text"):
-                ids, at = encode_column(part.column(part.schema.get_field_index("text")), words, held.value, memo)
-                yield pa.record_batch([*part.columns, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))], names=[*part.schema.names, "ids"])
-
-    return documents.select(*[f"`{c}`" for c in names]).mapInArrow(run, schema)
-
-
-def digests(rows: DataFrame, path: str) -> DataFrame:
-    """doc_id, text, ids -> doc_id, n_pieces, ids_crc32 (of little-endian 32-bit ids), round_trip: whether decoding gives the text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_())])
-
-    def run(batches):
-        words = vocabulary(path)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                ids, at = part.column(2).values.to_numpy(), np.asarray(part.column(2).offsets)
+            for part in slices(batch, "text", 1 << 20):
+                column = part.column(part.schema.get_field_index("text"))
+                ids, at = encode_column(column, words, held.value, memo)
+                if not digest:
+                    yield pa.record_batch([*part.columns, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))], names=[*part.schema.names, "ids"])
+                    continue
                 out = []
-                for doc, text, a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                for text, a, b in zip(column.to_pylist(), at[:-1].tolist(), at[1:].tolist()):
                     own = ids[a:b]
-                    out.append((doc, b - a, zlib.crc32(own.astype("<u4").tobytes()), words.decoded(own.tolist()) == (text or "")))
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 4, schema)], schema=schema)
+                    out.append((b - a, zlib.crc32(own.astype("<u4").tobytes()), words.decoded(own.tolist()) == (text or "")))
+                n, crc, same = zip(*out) if out else ((), (), ())
+                yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids_crc32", "round_trip"])
 
-    return rows.select(F.col("doc_id").cast("long"), "text", "ids").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
+    return documents.select(*[f"`{c}`" for c in names]).mapInArrow(run, schema)
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
@@ -332,4 +344,4 @@ def op10_sentencepiece(spark, sf_dir):
     import public_tokenizers
 
     path = public_tokenizers.path(MODEL)
-    return digests(encoded(read(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    return encoded(read(spark, sf_dir, "documents").select("doc_id", "text"), path, digest=True)
