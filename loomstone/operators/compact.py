@@ -238,15 +238,16 @@ def joined(spark, inputs: list[str], output: str, spec: TableSpec, target_bytes:
 
     Returns inputs, outputs (files), rows and accepted. A failed or refused try leaves the inputs as they were.
     """
-    from .rewrite import PARTITION, read_staged, staged
+    from .rewrite import read_folders, read_staged, staged
 
-    files = lambda paths: spark.read.parquet(*paths).select(F.col(PARTITION).cast("string").alias("p"), F.col("_metadata.file_path").alias("f")).distinct()
-    before = files(inputs).count()
+    def files(paths: list[str]) -> int:
+        found = spark.read.schema(spec.schema).option("recursiveFileLookup", "true").parquet(*paths)
+        return found.select(F.col("_metadata.file_path").alias("f")).distinct().count()
+
+    before = files(inputs)
     if before < 2:
         return {"inputs": before, "outputs": before, "rows": 0, "accepted": False}
-    whole = read_staged(spark, inputs[0], spec)
-    for path in inputs[1:]:
-        whole = whole.unionByName(read_staged(spark, path, spec))
+    whole = read_folders(spark, inputs, spec).select(*spec.schema.names)
     staged(whole, spec, output, allow_empty=True)
-    after = files([output]).count()
+    after = files([output])
     return {"inputs": before, "outputs": after, "rows": read_staged(spark, output, spec).count(), "accepted": after < before}

@@ -59,7 +59,7 @@ def staged(df: DataFrame, spec: TableSpec, path: str, allow_empty: bool = False,
     partition first, split where a partition is large (a rebalance), so that each partition has few files; without,
     no row is moved and each task writes its own. No rows at all is an error unless allowed.
     """
-    out = df.withColumn(PARTITION, F.expr(spec.partition_by).cast("string") if spec.partition_by else F.lit("all"))
+    out = df.withColumn(PARTITION, partition_column(spec))
     if cluster:
         out = out.hint("rebalance", PARTITION)
     if spec.sort_by:
@@ -84,6 +84,19 @@ def read_staged(spark, path: str, spec: TableSpec, with_partition: bool = False)
     return df if with_partition else df.drop(PARTITION)
 
 
+def read_folders(spark, paths: list[str], spec: TableSpec) -> DataFrame:
+    """Many staged folders as one scan, in the destination's columns, with the partition worked out anew.
+
+    Partition directories aren't read from the paths, as folders of several parts share none.
+    """
+    df = spark.read.schema(spec.schema).option("recursiveFileLookup", "true").parquet(*paths)
+    return df.withColumn(PARTITION, partition_column(spec))
+
+
+def partition_column(spec: TableSpec):
+    return F.expr(spec.partition_by).cast("string") if spec.partition_by else F.lit("all")
+
+
 def by_part(source: DataFrame, part: F.Column, select, spec: TableSpec) -> DataFrame:
     """All parts' outputs with a column part: since the select is row-local, one pass over the whole gives the same rows."""
     tagged = source.withColumn("part_", part)

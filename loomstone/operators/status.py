@@ -12,8 +12,9 @@ from .state import CURRENT_OUTPUT, STATUSES
 
 #: The stages of a rewrite in order.
 STAGES = [
-    "download_source", "read_manifest", "create_tables", "apply_codec", "attach_source", "inspect_source", "insert_select", "apply_merge_settings",
-    "restart_server", "wait_merges", "inspect_destination", "freeze_destination", "find_frozen_parts", "archive_parts", "upload_finished_tarballs",
+    "process_part", "prepare_work_dir", "download_source", "read_manifest", "prepare_worker_tables", "configure_compression", "attach_source_part",
+    "insert_select", "configure_merge_settings", "restart_server", "wait_merges", "measure_destination_parts", "freeze_destination_parts",
+    "archive_finished_parts", "delete_finished_artifact", "upload_finished_tarballs", "complete_part",
 ]
 SETTLE_STAGE = "wait_merges"
 
@@ -37,7 +38,7 @@ def overall_status(total: Column, n: dict[str, Column]) -> Column:
         .when(n["FAILED"] > 0, "FAILED")
         .when(n["IMPORTED"] + done == total, "IMPORTED")
         .when(n["IMPORTING"] > 0, "IMPORTING")
-        .when(n["FINISHED"] + n["IMPORTED"] + done == total, "READY_FOR_IMPORT")
+        .when(n["FINISHED"] + n["IMPORTING"] + n["IMPORTED"] + done == total, "READY_FOR_IMPORT")
         .when(n["COMPACTING"] + n["COMPACT_READY"] > 0, "COMPACTING")
         .when(n["IN_PROGRESS"] > 0, "REWRITING")
         .otherwise("READY")
