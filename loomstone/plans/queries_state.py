@@ -11,7 +11,10 @@ from . import fixtures
 from .fixtures import DUCKDB, NOW
 from .registry import query
 
-_NOW = F.lit(NOW).cast("timestamp_ntz")
+def _now():
+    return F.lit(NOW).cast("timestamp_ntz")
+
+
 _AT = f"TIMESTAMP '{NOW}'"
 _G = "job_id, bucket, destination_database"
 _NAMED = "trim(destination_database) <> ''"
@@ -137,7 +140,7 @@ def batch_totals(spark, sf_dir):
 @query("stale_leases", DUCKDB + f"SELECT job_id, part_id FROM st WHERE status = 'COMPACTING' AND least(updated_at, compacting_at) <= {_AT} - INTERVAL 36000000 SECOND")
 def stale_leases(spark, sf_dir):
     """Compactions whose older time is long past (row 73)."""
-    return _keys(compact.stale_leases(fixtures.state(spark, sf_dir), _NOW, 36000000))
+    return _keys(compact.stale_leases(fixtures.state(spark, sf_dir), _now(), 36000000))
 
 
 @query("ready_time", DUCKDB + "SELECT job_id, part_id, CAST(coalesce(compact_ready_at, progress_updated_at, updated_at, compacting_at) AS VARCHAR) AS ready FROM st")
@@ -158,7 +161,7 @@ def finalize_after(spark, sf_dir):
 @query("window_expired", DUCKDB + f", {_AFTER} SELECT job_id FROM after WHERE finalize_after <= {_AT}")
 def window_expired(spark, sf_dir):
     """Jobs whose window has ended (row 78)."""
-    return compact.window_expired(fixtures.state(spark, sf_dir), 86400, _NOW)
+    return compact.window_expired(fixtures.state(spark, sf_dir), 86400, _now())
 
 
 _ISOLATED = (
@@ -183,7 +186,7 @@ _JOBS = "jobs AS (SELECT job_id, bool_or(status IN ('READY', 'IN_PROGRESS', 'FAI
 )
 def finalizable_jobs(spark, sf_dir):
     """Parts that may become FINISHED now (rows 75, 152)."""
-    return compact.finalizable(fixtures.state(spark, sf_dir), 86400, _NOW)
+    return compact.finalizable(fixtures.state(spark, sf_dir), 86400, _now())
 
 
 @query("retry_selection", DUCKDB + "SELECT job_id, part_id, status FROM st WHERE status IN ('FAILED', 'IN_PROGRESS')")
@@ -195,7 +198,7 @@ def retry_selection(spark, sf_dir):
 @query("stale_retry", DUCKDB + f"SELECT job_id, part_id FROM st WHERE status = 'IN_PROGRESS' AND progress_updated_at < {_AT} - INTERVAL 300 SECOND")
 def stale_retry(spark, sf_dir):
     """Parts at work without progress for long (row 80)."""
-    return _keys(selection.stale_retry(fixtures.state(spark, sf_dir), _NOW, 300))
+    return _keys(selection.stale_retry(fixtures.state(spark, sf_dir), _now(), 300))
 
 
 @query("selection_by_ids", DUCKDB + "SELECT part_id, status, CAST(list_position(['part-00000007', 'part-00000003', 'part-00000011'], part_id) AS INTEGER) AS asked FROM st WHERE part_id IN ('part-00000007', 'part-00000003', 'part-00000011')")
@@ -365,13 +368,13 @@ def failed_parts(spark, sf_dir):
 )
 def compact_summary(spark, sf_dir):
     """Whether each job's parts can become FINISHED, and what they wait for (rows 100, 101)."""
-    return status.compact_summary(fixtures.state(spark, sf_dir), 86400, _NOW)
+    return status.compact_summary(fixtures.state(spark, sf_dir), 86400, _now())
 
 
 @query("remaining_elapsed", DUCKDB + f"SELECT part_id, greatest(0, CAST(epoch(updated_at) - epoch({_AT}) AS BIGINT)) AS remaining, greatest(0, CAST(epoch({_AT}) - epoch(updated_at) AS BIGINT)) AS elapsed FROM st")
 def remaining_elapsed(spark, sf_dir):
     """Seconds to and since a time, never negative (row 101)."""
-    return fixtures.state(spark, sf_dir).select("part_id", status.remaining(F.col("updated_at"), _NOW).alias("remaining"), status.elapsed(F.col("updated_at"), _NOW).alias("elapsed"))
+    return fixtures.state(spark, sf_dir).select("part_id", status.remaining(F.col("updated_at"), _now()).alias("remaining"), status.elapsed(F.col("updated_at"), _now()).alias("elapsed"))
 
 
 @query("partition_rendering", DUCKDB + "SELECT job_id, part_id, CASE WHEN status IN ('READY', 'IN_PROGRESS') THEN '' WHEN count(*) = 1 THEN max(partition_id) ELSE string_agg(partition_id || ':' || n, ',' ORDER BY partition_id) END AS partitions FROM entries GROUP BY job_id, part_id, status")
