@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .words import U, mixed
 
 #: Bits a key, slices of a filter, and most bits: 32 MB, whatever the number of keys.
@@ -44,7 +45,7 @@ def build(keys: DataFrame, column: str, n: int) -> np.ndarray:
 
     out = np.zeros((SLICES, size // 8), np.uint8)
     dealt = keys.select(F.col(column).cast("long").alias("k")).repartition(SLICES // 4, F.shiftrightunsigned(F.xxhash64("k"), 60))
-    for row in dealt.mapInArrow(run, "slice int, bits binary").toLocalIterator():
+    for row in dealt.mapInArrow(lean(run), "slice int, bits binary").toLocalIterator():
         out[row["slice"]] |= np.frombuffer(row["bits"], np.uint8)
     return out
 

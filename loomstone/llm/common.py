@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -12,9 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 #: Java and Python patterns of a word: what stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of the batches in which rows go to Python: what bounds a worker's memory where texts are long.
+BATCH_BYTES = "4m"
+
 _own_folder: str | None = None
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Have Spark hand rows to Python in batches of BATCH_BYTES, from now on in this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; on a single machine without that setting, a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,15 +41,37 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there, and lost executors cost nothing done before."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def lean(run):
+    """For functions of mapInArrow: what is unused at the end of a task goes back to the system.
+
+    A worker process stays for later tasks, and what it keeps adds up with theirs.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 def lengths(column: pa.Array) -> np.ndarray:
     """Bytes of each string or binary value, 0 for null."""
     import pyarrow.compute as pc
@@ -47,7 +79,7 @@ def lengths(column: pa.Array) -> np.ndarray:
     return np.asarray(pc.fill_null(pc.binary_length(column), 0).cast(pa.int64()))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """The batch in runs of rows of about `most` bytes in the column; a longer row stands alone."""
     total = np.cumsum(lengths(batch.column(batch.schema.get_field_index(column))))
     at, rows = 0, batch.num_rows

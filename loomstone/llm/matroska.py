@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import read, slices, values
+from .common import lean, read, slices, values
 from .registry import query
 
 # Fixed values of the Matroska format: element ids, with their length marker.
@@ -217,7 +217,7 @@ def media(rows: DataFrame, key: str, column: str) -> DataFrame:
                 data = values(part.column(1))
                 yield pa.record_batch([part.column(0).cast(pa.int64()), pa.array(map(len, data), pa.int64()), pa.array([mux(padded(x)) for x in data], pa.binary())], schema=schema)
 
-    return rows.selectExpr(f"cast({key} as long) key", f"cast({column} as binary) data").mapInArrow(write, "key long, n_bytes long, media binary").withColumnRenamed("key", key)
+    return rows.selectExpr(f"cast({key} as long) key", f"cast({column} as binary) data").mapInArrow(lean(write), "key long, n_bytes long, media binary").withColumnRenamed("key", key)
 
 
 def packet_table(files: DataFrame, key: str, column: str = "media") -> DataFrame:
@@ -230,7 +230,7 @@ def packet_table(files: DataFrame, key: str, column: str = "media") -> DataFrame
                 rows = [(k, *p) for k, x in zip(part.column(0).to_pylist(), values(part.column(1))) if x for p in demux(x)["packets"]]
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)
 
-    return files.selectExpr(f"cast({key} as long) key", f"{column} data").mapInArrow(parse, "key long, track int, timestamp_ms long, first_byte long, end_byte long").withColumnRenamed("key", key)
+    return files.selectExpr(f"cast({key} as long) key", f"{column} data").mapInArrow(lean(parse), "key long, track int, timestamp_ms long, first_byte long, end_byte long").withColumnRenamed("key", key)
 
 
 def digest(stored: bytes) -> tuple:
@@ -262,4 +262,4 @@ def op5_media_matroska(spark, sf_dir):
                 columns = [pa.array(c, schema.field(i + 2).type) for i, c in enumerate(zip(*rows) if rows else [[]] * 6)]
                 yield pa.record_batch([part.column(0), part.column(1), *columns], schema=schema)
 
-    return media(read(spark, sf_dir, "documents"), "doc_id", "text").mapInArrow(read_back, fields)
+    return media(read(spark, sf_dir, "documents"), "doc_id", "text").mapInArrow(lean(read_back), fields)

@@ -111,8 +111,9 @@ def mixed(documents: DataFrame, weights: list[float], share: float, epochs: floa
 
 def repeated(documents: DataFrame, weights: list[float], share: float, epochs: float, seed: str) -> DataFrame:
     """The mix itself: the documents' own columns, each row as often as the mix takes it."""
-    plan = mixed(documents, weights, share, epochs, seed, documents.columns)
-    return plan.withColumn("copy_", F.explode(F.expr("array_repeat(1, cast(copies as int))"))).select(*documents.columns)
+    rows = documents.select("doc_id", "source", "text", F.struct(*documents.columns).alias("__row"))
+    plan = mixed(rows, weights, share, epochs, seed, ["__row"])
+    return plan.select("__row", F.explode(F.expr("array_repeat(1, cast(copies as int))")).alias("copy")).select("__row.*")
 
 
 ORACLE = r"""

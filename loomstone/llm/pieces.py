@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, slices, written
+from .common import lean, read, slices, written
 from .registry import query
 from .words import mixed, spans_hash
 
@@ -169,7 +169,7 @@ def unit_counts(documents: DataFrame, path: str) -> DataFrame:
                 _, at, n = np.unique(units.hash[short], return_index=True, return_counts=True)
                 yield pa.record_batch([pa.array([units[k] for k in short[at].tolist()], pa.string()), pa.array(n)], schema=schema)
 
-    return documents.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return documents.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
@@ -321,7 +321,7 @@ def encoded(documents: DataFrame, path: str, most: int = DICTIONARY, digest: boo
                 n, crc, same = zip(*out) if out else ((), (), ())
                 yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids_crc32", "round_trip"])
 
-    return documents.select(*[f"`{c}`" for c in names]).mapInArrow(run, schema)
+    return documents.select(*[f"`{c}`" for c in names]).mapInArrow(lean(run), schema)
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
@@ -335,7 +335,7 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
             ids = batch.column(batch.schema.get_field_index("ids")).to_pylist()
             yield pa.record_batch([*batch.columns, pa.array([None if x is None else words.decoded(x) for x in ids], pa.string())], names=[*batch.schema.names, "text"])
 
-    return rows.select(*[f"`{c}`" for c in names]).mapInArrow(run, StructType([*(rows.schema[c] for c in names), StructField("text", StringType())]))
+    return rows.select(*[f"`{c}`" for c in names]).mapInArrow(lean(run), StructType([*(rows.schema[c] for c in names), StructField("text", StringType())]))
 
 
 @query("op10_sentencepiece")

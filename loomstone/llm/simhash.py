@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, slices, values, written
+from .common import lean, read, slices, values, written
 from .components import components
 from .registry import query
 
@@ -75,7 +75,7 @@ def fingerprinted(documents: DataFrame, shingle: int = 3, width: int = 1, text:
                 found = fingerprints(values(part.column(1)), shingle, width).view(np.int64)
                 yield pa.record_batch([part.column(0), *(pa.array(found[:, i]) for i in range(width))], schema=schema)
 
-    return documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long" + "".join(f", f{i} long" for i in range(width)))
+    return documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), "doc_id long" + "".join(f", f{i} long" for i in range(width)))
 
 
 def signed(bits: int) -> int:
@@ -167,7 +167,7 @@ def links(fps: DataFrame, width: int, bits: int, tables: list[tuple[int, int]],
         a, b = linked(held[:, 0], held[:, 1], held[:, 2:].view(np.uint64), bits)
         yield pa.record_batch([pa.array(a), pa.array(b)], schema=schema)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
 def near_groups(marked: DataFrame, bits: int = 3, width: int = 1) -> DataFrame:

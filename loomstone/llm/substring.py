@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import WORD, lengths, read, slices, written
+from .common import WORD, lean, lengths, read, slices, written
 from .registry import query
 from .words import U, Words, mixed, spans_hash
 
@@ -145,7 +145,7 @@ def _anchors(rows: DataFrame, size: int) -> DataFrame:
                 doc = np.asarray(part.column(0))[row]
                 yield pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(doc)], schema=schema)
 
-    found = rows.mapInArrow(run, "anchor long, doc_id long")
+    found = rows.mapInArrow(lean(run), "anchor long, doc_id long")
     return found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor")
 
 
@@ -173,7 +173,7 @@ def _segments(rows: DataFrame, size: int, wanted: np.ndarray, with_text: bool) -
                     doc, code = np.asarray(part.column(0))[row], np.asarray(part.column(2))[row]
                     yield pa.record_batch([pa.array(x, f.type) for x, f in zip((anchor.view(np.int64), cid, doc, code, start, n), schema)], schema=schema)
 
-    return rows.mapInArrow(run, fields)
+    return rows.mapInArrow(lean(run), fields)
 
 
 def _shards(refs: DataFrame, size: int, parts: int) -> DataFrame:
@@ -198,7 +198,7 @@ def _shards(refs: DataFrame, size: int, parts: int) -> DataFrame:
             yield pa.record_batch([pa.array(x, f.type) for x, f in zip(out, schema)], schema=schema)
 
     dealt = refs.select("anchor", "cid", "low", "words").repartition(parts, "anchor").sortWithinPartitions("anchor", "low", "cid")
-    return dealt.mapInArrow(run, "anchor long, cid long, owners array<long>")
+    return dealt.mapInArrow(lean(run), "anchor long, cid long, owners array<long>")
 
 
 def _one_by_one(refs: DataFrame, size: int) -> DataFrame:
@@ -213,7 +213,7 @@ def _one_by_one(refs: DataFrame, size: int) -> DataFrame:
                 out += [(anchor, cid, low, i, b" ".join(words[i : i + size])) for i in range(len(words) - size + 1)]
             yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * 5, schema)], schema=schema)
 
-    each = refs.select("anchor", "cid", "low", "words").mapInArrow(run, "anchor long, cid long, low long, i int, window binary")
+    each = refs.select("anchor", "cid", "low", "words").mapInArrow(lean(run), "anchor long, cid long, low long, i int, window binary")
     owners = each.groupBy("window").agg(F.min("low").alias("owner"))
     listed = each.join(owners, "window").groupBy("anchor", "cid").agg(F.sort_array(F.collect_list(F.struct("i", "owner"))).alias("o"))
     return listed.select("anchor", "cid", F.col("o.owner").alias("owners"))
@@ -322,11 +322,11 @@ def finished(documents: DataFrame, runs: DataFrame, size: int, digest: bool) ->
         for batch in batches:
             yield batch.filter(pa.array(bloom.holds(held.value, np.asarray(batch.column(batch.schema.get_field_index("key_"))))))
 
-    clean = both.mapInArrow(run(True), fields)
-    hit = both.mapInArrow(maybe, both.schema)
+    clean = both.mapInArrow(lean(run(True)), fields)
+    hit = both.mapInArrow(lean(maybe), both.schema)
     named = runs.select(F.col("doc_id").alias("id_"), F.col("code").alias("of_"), F.col("runs").alias("runs_"))
     hit = hit.join(named, (F.col("doc_id").cast("long") == F.col("id_")) & (F.col("code_") == F.col("of_")), "left").drop("id_", "of_")
-    return clean.unionByName(hit.mapInArrow(run(False), fields))
+    return clean.unionByName(hit.mapInArrow(lean(run(False)), fields))
 
 
 def deduplicated(documents: DataFrame, size: int) -> DataFrame:
@@ -360,7 +360,7 @@ def without_references(documents: DataFrame, references: list[str], size: int, m
                     out.append(x)
                 yield pa.record_batch([pa.array(out, pa.string()) if n == "text" else part.column(i) for i, n in enumerate(names)], names=names)
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(lean(run), documents.schema)
 
 
 ORACLE = r"""

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rangecoder
-from .common import read, shared_dir, slices
+from .common import lean, read, shared_dir, slices
 from .registry import query
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -105,7 +105,7 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int, parts: i
         if docs:
             yield close()
 
-    ordered.mapInArrow(run, SCHEMA).write.parquet(path)
+    ordered.mapInArrow(lean(run), SCHEMA).write.parquet(path)
     return path
 
 
@@ -137,7 +137,7 @@ def read_back(spark: SparkSession, path: str, digest: bool = True) -> DataFrame:
                 n = len(docs)
                 yield pa.record_batch([pa.array([part] * n, pa.int32()), pa.array([chunk] * n, pa.int32()), pa.array([d["doc_id"] for d in docs], pa.int64()), pa.array(starts, pa.int64()), pa.array([d["n"] for d in docs], pa.int64()), found], schema=schema)
 
-    rows = chunks.mapInArrow(run, f"part int, chunk int, doc_id long, at long, n_tokens long, {last}")
+    rows = chunks.mapInArrow(lean(run), f"part int, chunk int, doc_id long, at long, n_tokens long, {last}")
     return rows.join(offsets, ["part", "chunk"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", last.split()[0])
 
 

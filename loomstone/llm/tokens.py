@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, slices
+from .common import lean, read, slices
 from .registry import query
 
 RULES = ("start", "most", "share")
@@ -102,7 +102,7 @@ def counted(rows: DataFrame, fields: list[str], path: str, rule: str = "start",
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(schema), schema)], schema=schema)
 
     columns = [F.col(key).cast("long").alias("doc_id"), *(F.col(f"`{f}`").cast("string").alias(f) for f in fields)]
-    return rows.select(*columns).mapInArrow(run, "doc_id long, field string, section int, first_byte long, end_byte long, tokens double, crossing long")
+    return rows.select(*columns).mapInArrow(lean(run), "doc_id long, field string, section int, first_byte long, end_byte long, tokens double, crossing long")
 
 
 @query("op6_token_counts")

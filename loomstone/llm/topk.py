@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read, written
+from .common import lean, read, written
 from .registry import query
 
 #: Queries a block, bins a pass, candidates a matrix product: what bounds a task's memory.
@@ -109,7 +109,7 @@ def block_top_k(rows: DataFrame, most: float, ids: np.ndarray, vectors: np.ndarr
     width = (2 * bound.astype(np.float64) / BINS).astype(np.int64) + 1
     while not done.all():
         open_ = np.nonzero(~done)[0]
-        counted = rows.mapInArrow(_counts(low[open_], width[open_], need[open_], ids[open_], vectors[open_], scale), "query int, bin int, n long")
+        counted = rows.mapInArrow(lean(_counts(low[open_], width[open_], need[open_], ids[open_], vectors[open_], scale)), "query int, bin int, n long")
         found = counted.groupBy("query", "bin").agg(F.sum("n").alias("n")).toPandas()
         for q, group in found.sort_values("bin", ascending=False).groupby("query"):
             at, total = open_[q], 0
@@ -124,7 +124,7 @@ def block_top_k(rows: DataFrame, most: float, ids: np.ndarray, vectors: np.ndarr
             else:  # fewer than k rows: all count
                 done[at] = True
         done[np.setdiff1d(open_, open_[found["query"].unique()])] = True
-    best = rows.mapInArrow(_best(low, ids, vectors, scale, k), "query int, vec_id long, score long")
+    best = rows.mapInArrow(lean(_best(low, ids, vectors, scale, k)), "query int, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     named = F.element_at(F.lit(ids.tolist()).cast("array<long>"), F.col("query") + 1)
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select(named.alias("query_id"), "rank", "vec_id", "score")
