@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, slices
+from .common import lean, read, slices
 from .registry import query
 
 #: Pages of a host, with different contents, on which a container recurs to be template.
@@ -30,11 +30,15 @@ BLOCKS = CONTAINERS | HEADINGS | frozenset("p li dt dd tr td th pre article main
 SCOPES = frozenset("article main body html".split())
 #: Words in a class or an id that mark what isn't the article.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
-    "header masthead topbar footer copyright sidebar aside widget cookie cookies consent gdpr notice alert warning popup modal overlay newsletter subscribe "
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
+    "footer copyright sidebar aside widget cookie cookies consent gdpr notice alert warning popup modal overlay newsletter subscribe "
     "subscription signup login register search comment comments commentlist reply replies respond disqus discussion share sharing social related "
     "recommended recommendations toolbar pagination pager skip hidden".split()
 )
+#: The same for elements outside an article; inside, such an element holds the article's own head.
+OUTER_MARKS = frozenset("header masthead topbar banner".split())
+#: Words before a mark that make it say something else, as in has-sidebar.
+NEGATIONS = frozenset("has with no without".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar toolbar form".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']|[\"'])*?)(?:>|\Z)", re.S)
@@ -43,13 +47,16 @@ NOT_WORD = re.compile(r"[^a-z0-9]+")
 ENDS = {name: re.compile(rf"</{name}\s*(?:>|\Z)", re.I) for name in RAW}
 
 
-def marked(attributes: str) -> bool:
-    """Whether an element's class, id, role or state says that it isn't part of the article."""
+def marked(attributes: str, inside: bool = False) -> bool:
+    """Whether an element's class, id, role or state says that it isn't part of the article; inside: whether it is in one."""
     for name, value in ATTRIBUTE.findall(attributes):
         name = name.lower()
         if name in ("class", "id"):
-            if not MARKS.isdisjoint(NOT_WORD.split(value.lower())):
-                return True
+            before = ""
+            for word in NOT_WORD.split(value.lower()):
+                if (word in MARKS or not inside and word in OUTER_MARKS) and before not in NEGATIONS:
+                    return True
+                before = word
         elif name == "role":
             if value.strip("\"'").lower() in ROLES:
                 return True
@@ -58,7 +65,13 @@ def marked(attributes: str) -> bool:
     return False
 
 
-def parse(html: str) -> tuple[list[tuple[str, int, bool]], list[int], list[int]]:
+def parse(html: str) -> tuple[list[tuple[str, int, int]], list[int], list[int]]:
+    """_parse, and where marks leave nothing of a page, what it gives without regard to them."""
+    found = _parse(html, True)
+    return found if found[0] else _parse(html, False)
+
+
+def _parse(html: str, by_marks: bool) -> tuple[list[tuple[str, int, int]], list[int], list[int]]:
     """Blocks (text, container, in an article: 2, in main: 1, else 0), containers' digests, and containers' parents.
 
     Container -1 is the page. Blocks of dropped elements aren't there; their containers have no text and no digest
@@ -141,14 +154,14 @@ def parse(html: str) -> tuple[list[tuple[str, int, bool]], list[int], list[int]]
             elif stack[-1][0] == "p" or name in HEADINGS and stack[-1][0] in HEADINGS:
                 close()
         _, container, dropped, region, parts = stack[-1]
-        drops = dropped or name in DROPPED and not (name == "header" and region) or name not in SCOPES and bool(attributes) and marked(attributes)
+        drops = dropped or name in DROPPED and not (name == "header" and region) or name not in SCOPES and by_marks and bool(attributes) and marked(attributes, bool(region))
         if name not in BLOCKS and not drops:
             parts.append(name)
             continue
         if drops and not dropped:
             flush()
         if name in SCOPES and not dropped and name != "html" and name != "body":
-            drops = bool(attributes) and marked(attributes) and bool(region)
+            drops = by_marks and bool(attributes) and bool(region) and marked(attributes, True)
             region = max(region, 2 if name == "article" else 1)
         if name in CONTAINERS and not drops:
             parents.append(container)
@@ -212,7 +225,7 @@ def templates(pages: DataFrame, recurs: int = RECURS) -> DataFrame:
                     rows += [(h, page, d) for d in {digests[c] - (1 << 63) for c in with_text(blocks, parents)}]
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 3, schema)], schema=schema)
 
-    seen = pages.select("host", "page", "html").mapInArrow(run, "host string, page long, digest long").distinct()
+    seen = pages.select("host", "page", "html").mapInArrow(lean(run), "host string, page long, digest long").distinct()
     common = seen.groupBy("host", "digest").agg(F.count("*").alias("n")).filter(F.col("n") >= recurs)
     return seen.join(common, ["host", "digest"]).groupBy("page").agg(F.collect_set("digest").alias("template"))
 
@@ -229,7 +242,7 @@ def extracted(pages: DataFrame, recurs: int = RECURS) -> DataFrame:
                 texts = [extract(h or "", frozenset(d + (1 << 63) for d in t or ())) for h, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return rows.mapInArrow(run, fields.add("text", "string"))
+    return rows.mapInArrow(lean(run), fields.add("text", "string"))
 
 
 @query("op8_html_extract")
