@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lengths, read, slices
+from .common import lean, lengths, read, slices
 from .registry import query
 
 #: Bytes a filter spans, bytes an overlapping half of a chunk, filters, embedding width, hidden units.
@@ -24,8 +24,8 @@ STEPS, BATCH, RATE = 1200, 32, 0.01
 
 
 def layout(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Halves of each document (one at least) and the place of its first."""
-    halves = np.maximum(1, -(-sizes // HALF))
+    """Halves of each document, and the place of its first; a filter that begins in its text also ends in its halves."""
+    halves = -(-(sizes + SPAN - 1) // HALF)
     return halves, np.concatenate([[0], np.cumsum(halves)])
 
 
@@ -82,8 +82,13 @@ class Network:
         single = np.einsum("be,kef->kbf", w["embed"], w["filters"])
         return [(single[k][None, :, :] + single[k + 1][:, None, :]).reshape(65536, FILTERS) for k in range(0, SPAN, 2)]
 
-    def responses(self, data: np.ndarray, tables: list[np.ndarray], most: int = 1 << 15, places: bool = False):
-        """Each half's largest filter outputs before bias, and with places the byte where each is."""
+    def responses(self, data: np.ndarray, first: np.ndarray, tables: list[np.ndarray], most: int = 1 << 15, places: bool = False):
+        """Each half's largest filter outputs before bias, and with places the byte where each is.
+
+        Filters that begin in the last bytes of a document's halves, which are zeros, would reach the next
+        document's; they don't count.
+        """
+        over = (first[1:, None] * HALF - np.arange(SPAN - 1, 0, -1)).reshape(-1)
         n = (len(data) - SPAN) // HALF * HALF
         pairs = data[:-1].astype(np.int32) + (data[1:].astype(np.int32) << 8)
         out = np.empty((n // HALF, FILTERS), np.float32)
@@ -93,6 +98,7 @@ class Network:
             sums = tables[0][pairs[at:to]]
             for k, table in enumerate(tables[1:], 1):
                 sums += table[pairs[at + 2 * k : to + 2 * k]]
+            sums[over[np.searchsorted(over, at) : np.searchsorted(over, to)] - at] = -np.inf
             sums = sums.reshape(-1, HALF, FILTERS)
             if places:
                 best = sums.argmax(axis=1)
@@ -108,7 +114,7 @@ class Network:
             return np.zeros(0)
         w = self.weights
         laid, _, first = placed(data, sizes)
-        values, doc = chunks(self.responses(laid, tables or self.tables()), first)
+        values, doc = chunks(self.responses(laid, first, tables or self.tables()), first)
         x = combined(np.maximum(values + w["bias"], 0), doc, len(sizes))
         h = np.maximum(x @ w["hidden"] + w["hidden_bias"], 0)
         return 1 / (1 + np.exp(-(h @ w["out"] + w["out_bias"][0]).astype(np.float64)))
@@ -118,7 +124,7 @@ class Network:
         w, n = self.weights, len(texts)
         sizes = np.array([len(t) for t in texts])
         laid, _, first = placed(np.concatenate(texts), sizes)
-        pooled, where = self.responses(laid, self.tables(), places=True)
+        pooled, where = self.responses(laid, first, self.tables(), places=True)
         halves = np.diff(first)
         owner = np.repeat(np.arange(n), halves)
         at, last = np.arange(first[-1]), (first[1:] - 1)[owner]
@@ -227,7 +233,7 @@ def scored(documents: DataFrame, network: Network) -> DataFrame:
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return rows.mapInArrow(run, StructType([*fields, StructField("score", DoubleType())]))
+    return rows.mapInArrow(lean(run), StructType([*fields, StructField("score", DoubleType())]))
 
 
 def classified(documents: DataFrame, labels: DataFrame, label: str = "quality", least: float = 0.7) -> DataFrame:
