@@ -216,7 +216,7 @@ class Dictionary:
     """Ids of many units by a hash of the unit, in an open table that numpy probes for many units at once."""
 
     def __init__(self, units: list[str], ids: list[list[int]]):
-        self.at = np.cumsum([0, *map(len, ids)])
+        self.at = np.cumsum([0, *map(len, ids), 0])
         self.ids = np.fromiter((i for x in ids for i in x), np.int32, self.at[-1])
         lengths = np.fromiter(map(len, units), np.int64, len(units))
         points = np.frombuffer("".join(units).encode("utf-32-le"), "<u4").astype(np.uint64)
