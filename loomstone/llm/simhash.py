@@ -204,8 +204,8 @@ def near_deduplicated(documents: DataFrame) -> DataFrame:
     """
     marked = written(fingerprinted(documents, NEAR_SHINGLE, NEAR_WIDTH), "simhash-marked")
     groups = near_groups(marked, NEAR_BITS, NEAR_WIDTH)
-    kept = groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias("kept_")).distinct()
-    rows = documents.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_")), "left_semi")
+    kept = groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    rows = documents.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
     # rows of one id, equal or not, are copies of one document
     return rows.dropDuplicates(["doc_id"]) if "doc_id" in documents.columns else rows
 

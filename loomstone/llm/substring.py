@@ -287,20 +287,20 @@ def finished(documents: DataFrame, runs: DataFrame, size: int, digest: bool) ->
     keys = runs.select(F.xxhash64("doc_id", "code").alias("key"))
     held = spark.sparkContext.broadcast(bloom.build(keys, "key", keys.count()))
     columns = ["doc_id", "text"] if digest else documents.columns
-    rows = documents.select(*columns, F.xxhash64("text").alias("code_"))
+    rows = documents.select(*columns, F.xxhash64("text").alias("__code"))
     fields = "doc_id long, n_words long, n_removed long, kept_sha256 string" if digest else documents.schema
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-    both = rows.select("*", F.xxhash64(F.col("doc_id").cast("long"), F.col("code_")).alias("key_"))
+    both = rows.select("*", F.xxhash64(F.col("doc_id").cast("long"), F.col("__code")).alias("__key"))
 
     def run(clean: bool):
         def finish(batches):
             for batch in batches:
                 if clean:
-                    keep = ~bloom.holds(held.value, np.asarray(batch.column(batch.schema.get_field_index("key_"))))
+                    keep = ~bloom.holds(held.value, np.asarray(batch.column(batch.schema.get_field_index("__key"))))
                     batch = batch.filter(pa.array(keep))
                 for part in slices(batch, "text"):
                     text = part.column(part.schema.get_field_index("text"))
-                    windows = [None] * part.num_rows if clean else part.column(part.schema.get_field_index("runs_")).to_pylist()
+                    windows = [None] * part.num_rows if clean else part.column(part.schema.get_field_index("__runs")).to_pylist()
                     texts = [None if x is None else x for x in text.cast(pa.binary()).to_pylist()]
                     if digest:
                         out = []
@@ -320,12 +320,12 @@ def finished(documents: DataFrame, runs: DataFrame, size: int, digest: bool) ->
 
     def maybe(batches):
         for batch in batches:
-            yield batch.filter(pa.array(bloom.holds(held.value, np.asarray(batch.column(batch.schema.get_field_index("key_"))))))
+            yield batch.filter(pa.array(bloom.holds(held.value, np.asarray(batch.column(batch.schema.get_field_index("__key"))))))
 
     clean = both.mapInArrow(lean(run(True)), fields)
     hit = both.mapInArrow(lean(maybe), both.schema)
-    named = runs.select(F.col("doc_id").alias("id_"), F.col("code").alias("of_"), F.col("runs").alias("runs_"))
-    hit = hit.join(named, (F.col("doc_id").cast("long") == F.col("id_")) & (F.col("code_") == F.col("of_")), "left").drop("id_", "of_")
+    named = runs.select(F.col("doc_id").alias("__id"), F.col("code").alias("__of"), F.col("runs").alias("__runs"))
+    hit = hit.join(named, (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__code") == F.col("__of")), "left").drop("__id", "__of")
     return clean.unionByName(hit.mapInArrow(lean(run(False)), fields))
 
 
