@@ -39,10 +39,10 @@ def part_stats_by_partition(spark, sf_dir):
     return ops.by_partition(fixtures.parts(spark, sf_dir))
 
 
-@query("part_stats_rollup", DUCKDB + f"SELECT partition_id, {_COUNTS} FROM parts GROUP BY ROLLUP (partition_id)")
+@query("part_stats_rollup", DUCKDB + f"SELECT coalesce(partition_id, 0) AS partition_id, {_COUNTS} FROM parts GROUP BY ROLLUP (partition_id)")
 def part_stats_rollup(spark, sf_dir):
-    """Partitions and the total at once (row 40)."""
-    return ops.rolled_up(fixtures.parts(spark, sf_dir))
+    """Partitions and the total, here of partition 0, at once (row 40)."""
+    return ops.rolled_up(fixtures.parts(spark, sf_dir)).withColumn("partition_id", F.coalesce("partition_id", F.lit(0).cast("long")))
 
 
 @query("part_snapshot", DUCKDB + "SELECT CAST(count(*) AS BIGINT) AS part_count, CAST(sum(part_bytes) AS BIGINT) AS part_bytes, max(part_bytes) AS largest FROM parts")
@@ -148,13 +148,13 @@ _DISKS = [("default", "/var/lib/"), ("cold", "/var/lib/cold/"), ("colder", "/var
 @query(
     "longest_prefix_disk",
     "WITH d(disk, p) AS (VALUES " + ", ".join(str(d) for d in _DISKS) + "), f AS (SELECT CASE p_partkey % 4 WHEN 0 THEN '/var/lib/' WHEN 1 THEN '/var/lib/cold/' WHEN 2 THEN '/var/lib/cold/er/' ELSE '/mnt/xy/' END || p_partkey AS path FROM part)"
-    " SELECT path, (SELECT disk FROM d WHERE starts_with(path, rtrim(p, '/') || '/') OR path = p ORDER BY length(p) DESC LIMIT 1) AS disk FROM f",
+    " SELECT path, coalesce((SELECT disk FROM d WHERE starts_with(path, rtrim(p, '/') || '/') OR path = p ORDER BY length(p) DESC LIMIT 1), 'none') AS disk FROM f",
 )
 def longest_prefix_disk(spark, sf_dir):
     """The disk whose path is the longest that holds a file (row 52)."""
     root = F.when(F.col("p_partkey") % 4 == 0, "/var/lib/").when(F.col("p_partkey") % 4 == 1, "/var/lib/cold/").when(F.col("p_partkey") % 4 == 2, "/var/lib/cold/er/").otherwise("/mnt/xy/")
     files = _table(spark, sf_dir, "part").select(F.concat(root, F.col("p_partkey").cast("string")).alias("path"))
-    return ops.longest_prefix(files, spark.createDataFrame(_DISKS, "disk string, disk_path string"))
+    return ops.longest_prefix(files, spark.createDataFrame(_DISKS, "disk string, disk_path string")).withColumn("disk", F.coalesce("disk", F.lit("none")))
 
 
 @query("require_empty", "SELECT count(*) = 0 AS empty FROM events WHERE value < -1e18")

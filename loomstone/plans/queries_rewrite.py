@@ -71,11 +71,12 @@ def rewrite_orders(spark, sf_dir):
     return rewritten(_table(spark, sf_dir, "orders"), select, spec)
 
 
-@query("rewrite_try_cast", "SELECT event_id AS id, TRY_CAST(event_type AS BIGINT) AS as_number, TRY_CAST(CAST(user_id AS VARCHAR) AS INTEGER) AS back FROM events")
+@query("rewrite_try_cast", "SELECT event_id AS id, TRY_CAST(event_type AS BIGINT) IS NULL AS failed, TRY_CAST(CAST(user_id AS VARCHAR) AS INTEGER) AS back FROM events")
 def rewrite_try_cast(spark, sf_dir):
     """Casts that can fail give null (row 3)."""
     spec = TableSpec("db", "t", T.StructType([T.StructField("id", T.LongType()), T.StructField("as_number", T.LongType()), T.StructField("back", T.IntegerType())]))
-    return rewritten(_table(spark, sf_dir, "events"), "SELECT event_id, event_type, cast(user_id AS string) FROM source", spec)
+    out = rewritten(_table(spark, sf_dir, "events"), "SELECT event_id, event_type, cast(user_id AS string) FROM source", spec)
+    return out.select("id", F.col("as_number").isNull().alias("failed"), "back")
 
 
 @query("rewrite_by_part", LINES_ORACLE)

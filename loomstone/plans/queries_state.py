@@ -249,16 +249,16 @@ def lineage_cycles(spark, sf_dir):
     return selection.lineage_cycles(edges)
 
 
-@query("reset_plan", DUCKDB + "SELECT job_id, part_id, 'reset' AS action, 'READY' AS status FROM st WHERE compact_generation = 0 UNION ALL SELECT job_id, part_id, 'delete', NULL FROM st WHERE compact_generation > 0 UNION ALL SELECT job_id, output_id, 'delete', NULL FROM outputs")
+@query("reset_plan", DUCKDB + "SELECT job_id, part_id, 'reset' AS action, 'READY' AS status FROM st WHERE compact_generation = 0 UNION ALL SELECT job_id, part_id, 'delete', '' FROM st WHERE compact_generation > 0 UNION ALL SELECT job_id, output_id, 'delete', '' FROM outputs")
 def reset_plan(spark, sf_dir):
     """What a reset does to each row (rows 85, 142)."""
-    return selection.reset_plan(fixtures.state_with_outputs(spark, sf_dir), False)
+    return selection.reset_plan(fixtures.state_with_outputs(spark, sf_dir), False).withColumn("status", F.coalesce("status", F.lit("")))
 
 
-@query("reset_blockers", DUCKDB + "SELECT job_id, part_id, 'import has begun' AS problem FROM st WHERE status IN ('IMPORTING', 'IMPORTED') UNION ALL SELECT job_id, part_id, 'compaction without inputs' FROM st WHERE compact_generation > 0 UNION ALL SELECT job_id, NULL, 'no original parts' FROM st GROUP BY job_id HAVING sum(CASE WHEN compact_generation = 0 THEN 1 ELSE 0 END) = 0")
+@query("reset_blockers", DUCKDB + "SELECT job_id, part_id, 'import has begun' AS problem FROM st WHERE status IN ('IMPORTING', 'IMPORTED') UNION ALL SELECT job_id, part_id, 'compaction without inputs' FROM st WHERE compact_generation > 0 UNION ALL SELECT job_id, '', 'no original parts' FROM st GROUP BY job_id HAVING sum(CASE WHEN compact_generation = 0 THEN 1 ELSE 0 END) = 0")
 def reset_blockers(spark, sf_dir):
     """Why jobs can't be reset (row 85)."""
-    return selection.reset_blockers(fixtures.state(spark, sf_dir), False)
+    return selection.reset_blockers(fixtures.state(spark, sf_dir), False).withColumn("part_id", F.coalesce("part_id", F.lit("")))
 
 
 @query("reset_preconditions", DUCKDB + "SELECT job_id, part_id, 'no destination' AS problem FROM st WHERE compact_generation = 0 AND trim(destination_database) = ''")
@@ -364,11 +364,11 @@ def failed_parts(spark, sf_dir):
     DUCKDB + f", {_ISOLATED}, {_AFTER}, c AS (SELECT job_id, count(*) FILTER (status = 'READY') AS r, count(*) FILTER (status = 'IN_PROGRESS') AS ip, count(*) FILTER (status = 'COMPACT_READY') AS cr, count(*) FILTER (status = 'COMPACTING') AS co, count(*) FILTER (status = 'FAILED') AS f FROM st GROUP BY job_id),"
     " b AS (SELECT c.*, finalize_after, concat_ws(', ', CASE WHEN r > 0 THEN 'READY=' || r END, CASE WHEN ip > 0 THEN 'IN_PROGRESS=' || ip END, CASE WHEN co > 0 THEN 'COMPACTING=' || co END, CASE WHEN f > 0 THEN 'FAILED=' || f END) AS blocked_by, job_id IN (SELECT job_id FROM isolated) AND r + ip + f = 0 AS at_once FROM c LEFT JOIN after USING (job_id) WHERE cr + co > 0),"
     f" s AS (SELECT *, CASE WHEN cr = 0 THEN 'waiting_for_compacting' WHEN at_once THEN 'ready' WHEN finalize_after IS NULL THEN 'unknown' WHEN blocked_by <> '' THEN 'blocked' WHEN {_AT} < finalize_after THEN 'waiting' ELSE 'ready' END AS finalize_status FROM b)"
-    f" SELECT job_id, CAST(cr AS BIGINT) AS ready, CAST(co AS BIGINT) AS compacting, finalize_status, blocked_by, CASE WHEN finalize_status = 'waiting_for_compacting' THEN NULL WHEN finalize_status = 'ready' THEN 0 ELSE greatest(0, CAST(round(epoch(finalize_after) - epoch({_AT})) AS BIGINT)) END AS seconds_left FROM s",
+    f" SELECT job_id, CAST(cr AS BIGINT) AS ready, CAST(co AS BIGINT) AS compacting, finalize_status, blocked_by, CASE WHEN finalize_status = 'waiting_for_compacting' THEN -1 WHEN finalize_status = 'ready' THEN 0 ELSE greatest(0, CAST(round(epoch(finalize_after) - epoch({_AT})) AS BIGINT)) END AS seconds_left FROM s",
 )
 def compact_summary(spark, sf_dir):
     """Whether each job's parts can become FINISHED, and what they wait for (rows 100, 101)."""
-    return status.compact_summary(fixtures.state(spark, sf_dir), 86400, _now())
+    return status.compact_summary(fixtures.state(spark, sf_dir), 86400, _now()).withColumn("seconds_left", F.coalesce("seconds_left", F.lit(-1).cast("long")))
 
 
 @query("remaining_elapsed", DUCKDB + f"SELECT part_id, greatest(0, CAST(epoch(updated_at) - epoch({_AT}) AS BIGINT)) AS remaining, greatest(0, CAST(epoch({_AT}) - epoch(updated_at) AS BIGINT)) AS elapsed FROM st")
@@ -417,10 +417,10 @@ def progress_merge(spark, sf_dir):
     return state.merged_progress(rows, new, ["job_id", "part_id"], ["read_rows"]).select("job_id", "part_id", "read_rows")
 
 
-@query("partition_counts_clean", DUCKDB + "SELECT part_id, CAST(CASE WHEN part_rows % 2 = 0 THEN NULL ELSE 1 END AS INTEGER) AS entries FROM st")
+@query("partition_counts_clean", DUCKDB + "SELECT part_id, CAST(CASE WHEN part_rows % 2 = 0 THEN 0 ELSE 1 END AS INTEGER) AS entries FROM st")
 def partition_counts_clean(spark, sf_dir):
     """Partition counts without blank ids and zeros; none is null (row 154)."""
     zero = F.when(F.col("destination_active_part_rows") % 2 == 0, F.lit(0)).otherwise(F.lit(2))
     counts = F.create_map(F.lit("202401"), zero, F.lit(" "), F.lit(5))
     clean = F.map_filter(counts, lambda k, v: (F.trim(k) != "") & (v > 0))
-    return fixtures.state(spark, sf_dir).select("part_id", F.when(F.size(clean) > 0, F.size(clean)).alias("entries"))
+    return fixtures.state(spark, sf_dir).select("part_id", F.coalesce(F.when(F.size(clean) > 0, F.size(clean)), F.lit(0)).alias("entries"))
