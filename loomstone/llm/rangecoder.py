@@ -6,7 +6,8 @@ ids, after the same id, and the most frequent one so far. What comes is one of f
 order-1 id, the order-0 id, or none of them. Three adaptive distributions of the symbol, in contexts made of
 the orders' confidence and of the last symbols, are mixed with weights that follow their likelihood. An id
 that nothing predicted is coded as its class, its number of bits, by an adaptive distribution, and the bits
-below the highest as they are. All arithmetic is of integers, so every machine decodes alike.
+below the highest as they are. Distributions are kept as the bounds of their symbols' ranges, which move towards
+those of what came. All arithmetic is of integers, so every machine decodes alike.
 """
 
 from __future__ import annotations
@@ -18,136 +19,141 @@ import numpy as np
 
 U = np.uint64
 #: Ids of a block, and blocks coded side by side.
-BLOCK, LANES = 4096, 1024
+BLOCK, LANES = 4096, 2048
 MAGIC = b"LSIDRC1\0"
-#: Bits of a distribution's total, entries of the order-1 and order-2 tables, and of the order-0 counts.
-TOTAL, TABLE, COUNTS = 16, 2048, 1024
+#: Bits of a distribution's total and of the weights' sum; entries of the order-1 and order-2 tables, and order-0 counts.
+TOTAL, WEIGHT, TABLE, COUNTS = 16, 14, 2048, 1024
 TOP, BOTTOM = U(1 << 48), U(1 << 32)
 HIT2, HIT1, HIT0, LITERAL = 0, 1, 2, 3
 #: Classes of literals: ids of k bits for k from 0 to 16 are class max(0, k - 1).
 CLASSES = 16
+#: Least share of a symbol and of a weight; how slowly distributions, classes and weights follow.
+FLOOR, LEAST, SLOW, SLOW_CLASS, SLOW_WEIGHT = 48, 256, 5, 6, 5
+
+
+def _aims(symbols: int) -> np.ndarray:
+    """For each symbol, the bounds that distributions move to when it comes: nearly all is its own."""
+    at = np.arange(symbols + 1)
+    out = np.where(at[None, :] <= np.arange(symbols)[:, None], at * FLOOR, (1 << TOTAL) - (symbols - at) * FLOOR)
+    return out.astype(np.int32)
+
+
+AIMS, CLASS_AIMS = _aims(4), _aims(CLASSES)
 
 
 class Model:
-    """What n lanes know; rows [:m] are the lanes still going."""
+    """What n lanes know; methods take the number m of lanes still going, which are the first."""
 
     def __init__(self, n: int):
         self.lanes = np.arange(n)
-        self.id2, self.id1 = np.zeros((n, TABLE), np.int32), np.zeros((n, TABLE), np.int32)
-        self.sure2, self.sure1 = np.zeros((n, TABLE), np.int8), np.zeros((n, TABLE), np.int8)
-        self.counts, self.id0, self.best = np.zeros((n, COUNTS), np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
-        even = 1 << TOTAL - 2
-        self.by2, self.by1, self.by0 = (np.full((n * k, 4), even, np.int64) for k in (64, 64, 16))
-        self.weights = np.full((n, 3), 1 << 14, np.int64)
-        self.classes = np.full((n, CLASSES), (1 << TOTAL) // CLASSES, np.int64)
+        # an id and how sure it is, in one number: id << 3 | sureness
+        self.seen2, self.seen1 = np.zeros(n * TABLE, np.int32), np.zeros(n * TABLE, np.int32)
+        self.counts, self.id0, self.best = np.zeros(n * COUNTS, np.int16), np.zeros(n, np.int32), np.zeros(n, np.int16)
+        even = (np.arange(5) << TOTAL - 2).astype(np.int32)
+        self.by2, self.by1, self.by0 = (np.tile(even, (n * k, 1)) for k in (64, 64, 16))
+        self.w2, self.w1 = np.full(n, (1 << WEIGHT) // 3, np.int32), np.full(n, (1 << WEIGHT) // 3, np.int32)
+        self.classes = np.tile(((np.arange(CLASSES + 1) << TOTAL) // CLASSES).astype(np.int32), (n, 1))
         self.last1, self.last2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.history = np.full(n, LITERAL * 5, np.int64)
 
     def predict(self, m: int) -> np.ndarray:
-        """Where each of the four symbols begins, of 2 ** TOTAL (m x 5)."""
-        lanes, one, two = self.lanes[:m], self.last1[:m], self.last2[:m]
-        self.at1 = (one * 0x9E3779B1 >> 7) % TABLE
-        self.at2 = ((one * 0x2C1B3C6D + two * 0x9E3779B1) >> 9) % TABLE
-        self.guess = (self.id2[lanes, self.at2], self.id1[lanes, self.at1], self.id0[:m])
-        c2, c1 = self.sure2[lanes, self.at2].astype(np.int64), self.sure1[lanes, self.at1].astype(np.int64)
-        self.sure = c2, c1
-        same = self.guess[0] == self.guess[1]
-        self.rows = lanes * 64 + c2 * 8 + same * 4 + (c1 >> 1), lanes * 64 + c1 * 8 + (self.history[:m] & 3) * 2 + (self.guess[1] == self.guess[2]), lanes * 16 + self.history[:m]
-        self.own = np.stack([self.by2[self.rows[0]], self.by1[self.rows[1]], self.by0[self.rows[2]]], axis=1)
-        w = self.weights[:m]
-        mix = (self.own * w[:, :, None]).sum(axis=1) // w.sum(axis=1)[:, None]
-        return starts(mix)
+        """The bounds of the four symbols' ranges, of 2 ** TOTAL (m x 5)."""
+        lanes, one, history = self.lanes[:m], self.last1[:m], self.history[:m]
+        self.at1 = lanes * TABLE + (one * 0x9E3779B1 >> 7 & TABLE - 1)
+        self.at2 = lanes * TABLE + (one * 0x2C1B3C6D + self.last2[:m] * 0x9E3779B1 >> 9 & TABLE - 1)
+        seen2, seen1 = self.seen2.take(self.at2), self.seen1.take(self.at1)
+        self.guess2, self.guess1, self.guess0 = seen2 >> 3, seen1 >> 3, self.id0[:m]
+        self.sure2, self.sure1 = seen2 & 7, seen1 & 7
+        self.row2 = lanes * 64 + (self.sure2 << 3 | (self.guess2 == self.guess1) << 2 | self.sure1 >> 1)
+        self.row1 = lanes * 64 + (self.sure1 << 3 | (history & 3) << 1 | (self.guess1 == self.guess0))
+        self.row0 = lanes * 16 + history
+        self.own2, self.own1, self.own0 = self.by2.take(self.row2, 0), self.by1.take(self.row1, 0), self.by0.take(self.row0, 0)
+        w2, w1 = self.w2[:m, None], self.w1[:m, None]
+        # each factor is below 2 ** 16 and the weights add up to 2 ** WEIGHT, so 32 bits hold the sum
+        return self.own0 + ((self.own2 - self.own0) * w2 + (self.own1 - self.own0) * w1 >> WEIGHT)
 
     def update(self, m: int, ids: np.ndarray, symbol: np.ndarray) -> None:
-        lanes = self.lanes[:m]
-        # weights follow how likely each distribution held what came
-        found = np.take_along_axis(self.own, symbol[:, None, None], 2)[:, :, 0]
-        part = self.weights[:m] * found
-        self.weights[:m] += ((part << 16) // np.maximum(1, part.sum(axis=1))[:, None] - self.weights[:m]) >> 5
-        np.maximum(self.weights[:m], 256, out=self.weights[:m])
-        aim = (np.arange(4) == symbol[:, None]).astype(np.int64) << TOTAL
-        for table, rows, own in zip((self.by2, self.by1, self.by0), self.rows, (0, 1, 2)):
-            table[rows] = self.own[:, own] + ((aim - self.own[:, own]) >> 5)
-        for held, sure, at, c, guess in ((self.id2, self.sure2, self.at2, self.sure[0], self.guess[0]), (self.id1, self.sure1, self.at1, self.sure[1], self.guess[1])):
+        at = np.arange(m) * 5 + symbol
+        share = [own.take(at + 1) - own.take(at) for own in (self.own2, self.own1, self.own0)]
+        w2, w1 = self.w2[:m], self.w1[:m]
+        part2, part1 = w2 * (share[0] >> 2), w1 * (share[1] >> 2)
+        whole = part2 + part1 + ((1 << WEIGHT) - w2 - w1) * (share[2] >> 2) + 1 >> WEIGHT
+        whole = np.maximum(whole, 1)
+        most = (1 << WEIGHT) - 2 * LEAST
+        new2 = np.clip(w2 + (np.minimum(part2 // whole, 1 << WEIGHT) - w2 >> SLOW_WEIGHT), LEAST, most)
+        new1 = np.clip(w1 + (np.minimum(part1 // whole, 1 << WEIGHT) - w1 >> SLOW_WEIGHT), LEAST, most)
+        over = np.maximum(new2 + new1 - ((1 << WEIGHT) - LEAST), 0)
+        self.w2[:m], self.w1[:m] = new2 - np.where(new2 >= new1, over, 0), new1 - np.where(new2 >= new1, 0, over)
+        aim = AIMS.take(symbol, 0)
+        for table, row, own in ((self.by2, self.row2, self.own2), (self.by1, self.row1, self.own1), (self.by0, self.row0, self.own0)):
+            table[row] = own + (aim - own >> SLOW)
+        known = ids << 3
+        for seen, place, guess, sure in ((self.seen2, self.at2, self.guess2, self.sure2), (self.seen1, self.at1, self.guess1, self.sure1)):
             hit = guess == ids
-            held[lanes, at] = np.where(hit | (c > 0), guess, ids)
-            sure[lanes, at] = np.where(hit, np.minimum(c + 1, 7), c >> 1)
-        slot = ids % COUNTS
-        n = self.counts[lanes, slot] + 1
-        self.counts[lanes, slot] = n
+            seen[place] = np.where(hit, known | np.minimum(sure + 1, 7), np.where(sure > 0, guess << 3 | sure >> 1, known))
+        slot = self.lanes[:m] * COUNTS + (ids & COUNTS - 1)
+        n = self.counts.take(slot) + np.int16(1)
+        self.counts[slot] = n
         more = n > self.best[:m]
         self.best[:m] = np.where(more, n, self.best[:m])
         self.id0[:m] = np.where(more, ids, self.id0[:m])
         self.history[:m] = (self.history[:m] << 2 | symbol) & 15
         self.last2[:m], self.last1[:m] = self.last1[:m], ids
 
-    def learn_class(self, lanes: np.ndarray, kind: np.ndarray) -> None:
-        own = self.classes[lanes]
-        aim = (np.arange(CLASSES) == kind[:, None]).astype(np.int64) << TOTAL
-        self.classes[lanes] = own + ((aim - own) >> 6)
-
-
-def starts(shares: np.ndarray) -> np.ndarray:
-    """Shares (rows x symbols) as starts of ranges that fill 2 ** TOTAL; none is empty."""
-    floor = 32
-    shares = np.maximum(shares, 0)
-    scaled = shares * ((1 << TOTAL) - floor * shares.shape[1]) // np.maximum(1, shares.sum(axis=1))[:, None] + floor
-    out = np.zeros((len(shares), shares.shape[1] + 1), np.int64)
-    np.cumsum(scaled, axis=1, out=out[:, 1:])
-    out[:, -1] = 1 << TOTAL
-    return out
+    def learn_class(self, lanes: np.ndarray, own: np.ndarray, kind: np.ndarray) -> None:
+        self.classes[lanes] = own + (CLASS_AIMS.take(kind, 0) - own >> SLOW_CLASS)
 
 
 def class_of(ids: np.ndarray) -> np.ndarray:
-    return np.maximum(np.frexp(ids.astype(np.float64))[1] - 1, 0).astype(np.int64)
+    return np.maximum(np.frexp(ids.astype(np.float64))[1] - 1, 0)
 
 
 class Coder:
     """Carry-less range coding of n lanes: 64-bit bounds, 16 bits out or in at a time."""
 
-    def __init__(self, n: int, words: np.ndarray):
+    def __init__(self, words: np.ndarray):
+        n = len(words)
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-        self.words, self.at, self.code = words, np.zeros(n, np.int64), None
+        self.words, self.width, self.at, self.code = words.reshape(-1), words.shape[1], np.zeros(n, np.int64), None
+        self.start = np.arange(n) * self.width
 
     def begin_decoding(self) -> None:
         self.code = np.zeros(len(self.low), np.uint64)
         for _ in range(4):
-            self.code = self.code << U(16) | self.words[np.arange(len(self.low)), self.at].astype(np.uint64)
+            self.code = self.code << U(16) | self.words.take(self.start + self.at)
             self.at += 1
 
-    def narrow(self, lanes, begin: np.ndarray, size: np.ndarray, bits) -> None:
-        """Take the part [begin, begin + size) of 2 ** bits of the range of lanes (a slice or numbers)."""
-        step = self.range[lanes] >> np.asarray(bits, np.uint64)
+    def narrow(self, lanes: np.ndarray, begin: np.ndarray, size: np.ndarray, step: np.ndarray) -> None:
+        """Take size steps of lanes' ranges from the begin-th on."""
         low, rng = self.low[lanes] + begin.astype(np.uint64) * step, size.astype(np.uint64) * step
-        number = np.arange(len(self.low))[lanes]
-        left = np.arange(len(low))
+        left = None
+        l, r = low, rng
         while True:
-            l, r = low[left], rng[left]
             same = (l ^ (l + r)) < TOP
-            few = (r < BOTTOM) & ~same
-            go = same | few
-            if not go.any():
+            go = np.nonzero(same | (r < BOTTOM))[0]
+            if not len(go):
                 break
-            left, l = left[go], l[go]
-            r = np.where(few[go], (~l + U(1)) & (BOTTOM - U(1)), r[go])
-            n = number[left]
+            left = go if left is None else left[go]
+            l, r, same = l[go], r[go], same[go]
+            r = np.where(same, r, (~l + U(1)) & (BOTTOM - U(1)))
+            n = lanes[left]
+            place = self.start[n] + self.at[n]
             if self.code is None:
-                self.words[n, self.at[n]] = (l >> U(48)).astype(np.uint16)
+                self.words[place] = (l >> U(48)).astype(np.uint16)
             else:
-                self.code[n] = self.code[n] << U(16) | self.words[n, self.at[n]].astype(np.uint64)
+                self.code[n] = self.code[n] << U(16) | self.words.take(place)
             self.at[n] += 1
-            low[left], rng[left] = l << U(16), r << U(16)
+            l, r = l << U(16), r << U(16)
+            low[left], rng[left] = l, r
         self.low[lanes], self.range[lanes] = low, rng
 
-    def value(self, lanes, bits) -> np.ndarray:
-        """Where the code lies in the range, of 2 ** bits."""
-        bits = np.asarray(bits, np.uint64)
-        v = (self.code[lanes] - self.low[lanes]) // (self.range[lanes] >> bits)
-        return np.minimum(v, (U(1) << bits) - U(1)).astype(np.int64)
+    def value(self, lanes: np.ndarray, step: np.ndarray, most: np.ndarray | int) -> np.ndarray:
+        """In which step of the range the code lies, `most` at most."""
+        return np.minimum(((self.code[lanes] - self.low[lanes]) // step).astype(np.int64), most)
 
     def end_encoding(self) -> None:
         for _ in range(4):
-            self.words[np.arange(len(self.low)), self.at] = (self.low >> U(48)).astype(np.uint16)
+            self.words[self.start + self.at] = (self.low >> U(48)).astype(np.uint16)
             self.low <<= U(16)
             self.at += 1
 
@@ -155,64 +161,69 @@ class Coder:
 def encode_lanes(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """ids (lanes x longest) with lengths that never grow from lane to lane -> 16-bit words (lanes x most), words of each."""
     n = len(ids)
-    model, coder = Model(n), Coder(n, np.zeros((n, 3 * ids.shape[1] + 8), np.uint16))
+    words = np.zeros((n, 3 * ids.shape[1] + 8), np.uint16)
+    model, coder, columns = Model(n), Coder(words), np.ascontiguousarray(ids.T)
     going = np.searchsorted(-lengths, -np.arange(ids.shape[1]), side="left")
     for t in range(ids.shape[1]):
         m = int(going[t])
-        if m == 0:
-            break
-        now = ids[:m, t].astype(np.int64)
-        begin = model.predict(m)
-        g = model.guess
-        symbol = np.where(g[0] == now, HIT2, np.where(g[1] == now, HIT1, np.where(g[2] == now, HIT0, LITERAL)))
-        first = np.take_along_axis(begin, symbol[:, None], 1)[:, 0]
-        coder.narrow(slice(0, m), first, np.take_along_axis(begin, symbol[:, None] + 1, 1)[:, 0] - first, TOTAL)
+        now, lanes = columns[t, :m], model.lanes[:m]
+        bounds = model.predict(m)
+        symbol = np.where(model.guess2 == now, HIT2, np.where(model.guess1 == now, HIT1, np.where(model.guess0 == now, HIT0, LITERAL)))
+        at = np.arange(m) * 5 + symbol
+        first = bounds.take(at)
+        coder.narrow(lanes, first, bounds.take(at + 1) - first, coder.range[:m] >> U(TOTAL))
         new = np.nonzero(symbol == LITERAL)[0]
         if len(new):
             value = now[new]
             kind = class_of(value)
-            begin = starts(model.classes[new])
-            first = np.take_along_axis(begin, kind[:, None], 1)[:, 0]
-            coder.narrow(new, first, np.take_along_axis(begin, kind[:, None] + 1, 1)[:, 0] - first, TOTAL)
+            own = model.classes.take(new, 0)
+            at = np.arange(len(new)) * (CLASSES + 1) + kind
+            first = own.take(at)
+            coder.narrow(new, first, own.take(at + 1) - first, coder.range[new] >> U(TOTAL))
             bits = np.maximum(kind, 1)
-            coder.narrow(new, value & (1 << bits) - 1, np.ones(len(new), np.int64), bits)
-            model.learn_class(new, kind)
+            coder.narrow(new, value & (1 << bits) - 1, np.ones(len(new), np.int64), coder.range[new] >> bits.astype(np.uint64))
+            model.learn_class(new, own, kind)
         model.update(m, now, symbol)
     coder.end_encoding()
-    return coder.words, coder.at
+    return words, coder.at
 
 
 def decode_lanes(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The ids (lanes x longest) of what encode_lanes made; words need 8 columns more than the longest lane."""
     n, most = len(words), int(lengths.max(initial=0))
-    model, coder = Model(n), Coder(n, words)
+    model, coder = Model(n), Coder(words)
     coder.begin_decoding()
-    out = np.zeros((n, most), np.int64)
+    out = np.zeros((most, n), np.int32)
     going = np.searchsorted(-lengths, -np.arange(most), side="left")
     for t in range(most):
         m = int(going[t])
-        begin = model.predict(m)
-        value = coder.value(slice(0, m), TOTAL)
-        symbol = (begin[:, 1:4] <= value[:, None]).sum(axis=1)
-        first = np.take_along_axis(begin, symbol[:, None], 1)[:, 0]
-        coder.narrow(slice(0, m), first, np.take_along_axis(begin, symbol[:, None] + 1, 1)[:, 0] - first, TOTAL)
-        g = model.guess
-        now = np.where(symbol == HIT2, g[0], np.where(symbol == HIT1, g[1], g[2])).astype(np.int64)
+        lanes = model.lanes[:m]
+        bounds = model.predict(m)
+        step = coder.range[:m] >> U(TOTAL)
+        value = coder.value(lanes, step, (1 << TOTAL) - 1)
+        symbol = (bounds[:, 1:4] <= value[:, None]).sum(axis=1)
+        at = np.arange(m) * 5 + symbol
+        first = bounds.take(at)
+        coder.narrow(lanes, first, bounds.take(at + 1) - first, step)
+        now = np.where(symbol == HIT2, model.guess2, np.where(symbol == HIT1, model.guess1, model.guess0))
         new = np.nonzero(symbol == LITERAL)[0]
         if len(new):
-            begin = starts(model.classes[new])
-            value = coder.value(new, TOTAL)
-            kind = (begin[:, 1:CLASSES] <= value[:, None]).sum(axis=1)
-            first = np.take_along_axis(begin, kind[:, None], 1)[:, 0]
-            coder.narrow(new, first, np.take_along_axis(begin, kind[:, None] + 1, 1)[:, 0] - first, TOTAL)
+            own = model.classes.take(new, 0)
+            step = coder.range[new] >> U(TOTAL)
+            value = coder.value(new, step, (1 << TOTAL) - 1)
+            kind = (own[:, 1:CLASSES] <= value[:, None]).sum(axis=1)
+            at = np.arange(len(new)) * (CLASSES + 1) + kind
+            first = own.take(at)
+            coder.narrow(new, first, own.take(at + 1) - first, step)
             bits = np.maximum(kind, 1)
-            rest = coder.value(new, bits)
-            coder.narrow(new, rest, np.ones(len(new), np.int64), bits)
+            step = coder.range[new] >> bits.astype(np.uint64)
+            rest = coder.value(new, step, (1 << bits) - 1)
+            coder.narrow(new, rest, np.ones(len(new), np.int64), step)
             now[new] = np.where(kind > 0, rest | 1 << kind, rest)
-            model.learn_class(new, kind)
-        out[:m, t] = now
+            model.learn_class(new, own, kind)
+        out[t, :m] = now
         model.update(m, now, symbol)
-    return out
+    return out.T
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
@@ -229,7 +240,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
         lanes = -(-len(part) // block)
         lengths = np.full(lanes, block, np.int64)
         lengths[-1] = len(part) - (lanes - 1) * block
-        laid = np.zeros((lanes, min(block, len(part))), np.int64)
+        laid = np.zeros((lanes, min(block, len(part))), np.int32)
         laid.reshape(-1)[: len(part)] = part
         words, sizes = encode_lanes(laid, lengths)
         for k in range(lanes):
