@@ -233,6 +233,23 @@ def stale_leases(rows: DataFrame, now, seconds: int) -> DataFrame:
     return rows.filter("status = 'COMPACTING'").filter(F.least("updated_at", "compacting_at") <= now - F.expr(f"interval {seconds} seconds"))
 
 
+def replaced(rows: DataFrame, spec: TableSpec) -> DataFrame:
+    """For engines that replace rows of one sort key: the row of the largest version, or any one without a version.
+
+    Other engines' rows stay as they are. An aggregate with partial results by key, without a sort.
+    """
+    import re
+
+    found = re.fullmatch(r"ReplacingMergeTree(?:\((.*)\))?", spec.engine)
+    if not found or not spec.sort_by:
+        return rows
+    version = re.split(r"\s*,\s*", (found[1] or "").strip())[0].strip("`")
+    keys = [F.expr(k).alias(f"__key{i}") for i, k in enumerate(spec.sort_by)]
+    row = F.struct(*rows.columns)
+    best = F.max_by(row, F.col(version)) if version else F.max(row)
+    return rows.groupBy(*keys).agg(best.alias("__row")).select("__row.*")
+
+
 def joined(spark, inputs: list[str], output: str, spec: TableSpec, target_bytes: int = 150 * GIB) -> dict:
     """Join staged folders into one, file by partition; kept only if there are fewer files then.
 
@@ -247,7 +264,7 @@ def joined(spark, inputs: list[str], output: str, spec: TableSpec, target_bytes:
     before = files(inputs)
     if before < 2:
         return {"inputs": before, "outputs": before, "rows": 0, "accepted": False}
-    whole = read_folders(spark, inputs, spec).select(*spec.schema.names)
+    whole = replaced(read_folders(spark, inputs, spec).select(*spec.schema.names), spec)
     staged(whole, spec, output, allow_empty=True)
     after = files([output])
     return {"inputs": before, "outputs": after, "rows": read_staged(spark, output, spec).count(), "accepted": after < before}

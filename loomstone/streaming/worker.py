@@ -93,6 +93,9 @@ class Worker:
         except Exception as e:
             self.log.apply(job, [part], "fail", worker=self.name, error=str(e)[:1000])
             return f"failed {part}"
+        except BaseException:  # the worker is told to stop: another may take the part
+            self.log.apply(job, [part], "release", worker=self.name)
+            raise
 
     def _write(self, out: DataFrame, path: str) -> None:
         """Write a part; if its tasks run out of memory, again with smaller tasks."""
@@ -121,7 +124,7 @@ class Worker:
             key = ids.sibling_key(inputs[0]["finished_key"], output)
             try:
                 result = compact.joined(self.log.spark, [f"{self.root}/{r['finished_key']}" for r in inputs], f"{self.root}/{key}", self.spec)
-            except Exception:
+            except BaseException:
                 self.log.apply(job, chosen, "release_compaction", worker=self.name)
                 raise
             if not result["accepted"]:
@@ -165,6 +168,13 @@ def measure(spark: SparkSession, path: str) -> list:
     return parts.by_partition(files).orderBy("partition_id").collect()
 
 
+def splay(window_ms: int = 250) -> float:
+    """A random wait in seconds before a claim, so that workers that start together don't claim together."""
+    import random
+
+    return random.randint(0, window_ms) / 1000 if window_ms > 0 else 0.0
+
+
 def out_of_memory(message: str) -> bool:
     text = message.lower()
     return any(m in text for m in ("outofmemory", "out of memory", "memory limit", "unable to acquire", "cannot allocate memory", "exit code 137"))
@@ -190,4 +200,4 @@ def streamed(spark: SparkSession, target: str, spec: TableSpec) -> DataFrame:
     return spark.read.schema(schema).option("recursiveFileLookup", "false").parquet(target).select(*spec.schema.names)
 
 
-__all__ = ["Worker", "check_role", "measure", "out_of_memory", "read_staged", "stream", "streamed"]
+__all__ = ["Worker", "check_role", "measure", "out_of_memory", "read_staged", "splay", "stream", "streamed"]

@@ -79,6 +79,26 @@ def test_joining_is_refused_where_it_gains_nothing(spark, tmp_path):
     assert compact.joined(spark, [one], f"file://{tmp_path}/d", SPEC)["accepted"] is False
 
 
+def test_replacing_rows(spark):
+    rows = spark.createDataFrame([(1, 1, "a"), (1, 3, "c"), (1, 2, "b"), (2, 1, "x")], "k long, v long, t string")
+    spec = lambda engine: TableSpec("d", "t", rows.schema, sort_by=("k",), engine=engine)
+    assert sorted(tuple(r) for r in compact.replaced(rows, spec("ReplacingMergeTree(v)")).collect()) == [(1, 3, "c"), (2, 1, "x")]
+    assert compact.replaced(rows, spec("ReplacingMergeTree")).count() == 2 and compact.replaced(rows, spec("MergeTree")).count() == 4
+
+
+def test_a_stopped_worker_gives_its_part_back(spark, tmp_path):
+    path, root = source(spark, tmp_path), f"file://{tmp_path}/work"
+    log = StateLog(spark, f"{root}/state")
+    submit(log, registered(spark, path, "j", "b", "stage", SPEC, "x"), SPEC)
+
+    def stop(df):
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        Worker(log, SPEC, stop, root).run()
+    assert {r["status"] for r in log.get("j")} == {"READY"}
+
+
 def test_registry(spark, tmp_path):
     found = parts.registry(spark, source(spark, tmp_path))
     assert found.count() == 2 and parts.duplicate_names(found).isEmpty() and parts.duplicate_names(found.unionAll(found)).count() == 2
