@@ -67,27 +67,28 @@ def mix(rows: DataFrame, sized: DataFrame, targets: DataFrame, seed: str) -> Dat
     """
     code = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    goal = targets.withColumn("whole_", whole).withColumn("rest_", F.col("target") - F.col("whole_") * F.col("source_size"))
-    keyed = sized.withColumn("code_", code)
+    goal = targets.withColumn("__whole", whole).withColumn("__rest", F.col("target") - F.col("__whole") * F.col("source_size"))
+    keyed = sized.withColumn("__code", code)
     # cut: hash prefix of the bin in which the rest is filled, so far; room: words still to fill inside it
-    cuts = goal.select("source", F.lit("").alias("cut_"), F.col("rest_").alias("room_"))
+    cuts = goal.select("source", F.lit("").alias("__cut"), F.col("__rest").alias("__room"))
     for level in range(LEVELS):
-        inside = keyed if level == 0 else _with_source(keyed, cuts).filter(F.substring("code_", 1, level * DIGITS) == F.col("cut_"))
-        bins = inside.groupBy("source", F.substring("code_", 1, (level + 1) * DIGITS).alias("bin")).agg(F.sum("size").alias("words"))
+        inside = keyed if level == 0 else _with_source(keyed, cuts).filter(F.substring("__code", 1, level * DIGITS) == F.col("__cut"))
+        bins = inside.groupBy("source", F.substring("__code", 1, (level + 1) * DIGITS).alias("bin")).agg(F.sum("size").alias("words"))
         run = Window.partitionBy("source").orderBy("bin")
         below = F.coalesce(F.sum("words").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         binned = _with_source(bins, cuts).withColumn("below", below)
         # the last bin that begins below the room: what comes before it is taken whole
-        at = binned.filter(F.col("below") <= F.col("room_")).groupBy("source").agg(F.max(F.struct("bin", (F.col("room_") - F.col("below")).alias("room"))).alias("last"))
-        cuts = written(at.select("source", F.col("last.bin").alias("cut_"), F.col("last.room").alias("room_")), f"mix-cuts{level}")
-    full = _with_source(rows.withColumn("code_", code), _with_source(goal, cuts))
-    prefix = F.substring("code_", 1, LEVELS * DIGITS)
-    order = Window.partitionBy("source").orderBy("code_", "doc_id", "size")
+        at = binned.filter(F.col("below") <= F.col("__room")).groupBy("source").agg(F.max(F.struct("bin", (F.col("__room") - F.col("below")).alias("room"))).alias("last"))
+        cuts = written(at.select("source", F.col("last.bin").alias("__cut"), F.col("last.room").alias("__room")), f"mix-cuts{level}")
+    # written, so that Spark knows how small the table is and rows with texts aren't shuffled to meet it
+    full = _with_source(rows.withColumn("__code", code), written(_with_source(goal, cuts), "mix-goals"))
+    prefix = F.substring("__code", 1, LEVELS * DIGITS)
+    order = Window.partitionBy("source").orderBy("__code", "doc_id", "size")
     before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = full.filter(prefix == F.col("cut_")).withColumn("more_", (before * 2 + F.col("size") <= F.col("room_") * 2).cast("long"))
-    rest = full.filter(F.col("cut_").isNull() | (prefix != F.col("cut_"))).withColumn("more_", F.coalesce((prefix < F.col("cut_")).cast("long"), F.lit(0).cast("long")))
-    out = rest.unionByName(edge).withColumn("copies", F.col("whole_") + F.col("more_")).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.drop("code_", "cut_", "room_", "more_", "whole_", "rest_")
+    edge = full.filter(prefix == F.col("__cut")).withColumn("__more", (before * 2 + F.col("size") <= F.col("__room") * 2).cast("long"))
+    rest = full.filter(F.col("__cut").isNull() | (prefix != F.col("__cut"))).withColumn("__more", F.coalesce((prefix < F.col("__cut")).cast("long"), F.lit(0).cast("long")))
+    out = rest.unionByName(edge).withColumn("copies", F.col("__whole") + F.col("__more")).withColumn("taken", F.col("copies") * F.col("size"))
+    return out.drop("__code", "__cut", "__room", "__more", "__whole", "__rest")
 
 
 def _with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -104,7 +105,7 @@ def mixed(documents: DataFrame, weights: list[float], share: float, epochs: floa
     sized = written(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = written(water_fill(source_weights(sources, weights), share, epochs).drop("weight"), "mix-targets")
-    keep = [c for c in columns if c not in ("doc_id", "source", "size", "source_size", "target", "copies", "taken")]
+    keep = [c for c in columns if c not in ("doc_id", "source", "size", "source_size", "target", "copies", "taken", "of")]
     rows = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), *keep) if keep else sized
     return mix(rows, sized, targets, seed)
 
