@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.llm import mixing, pieces, quality, simhash, substring
-from loomstone.llm.common import read, shared_dir
+from loomstone.llm.common import fresh, read
 
 #: Score below which a document is rejected, words of a passage that may not repeat, weights and size of the mix.
 LEAST_SCORE, PASSAGE = 0.5, 50
@@ -61,7 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each written as Parquet and read again."""
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{k}"
+        path = fresh(spark, f"pipeline-{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

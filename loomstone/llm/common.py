@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import functools
 import tempfile
@@ -18,6 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = "4m"
 
 _own_folder: str | None = None
+_made: list[str] = []
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -38,11 +40,32 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_folder}"
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet; what is written there goes with clean(), at exit at the latest."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(clean)
+    _made.append(path)
+    return path
+
+
+def clean(spark: SparkSession | None = None) -> None:
+    """Delete the intermediates of this process. Results that haven't been read to the end need them."""
+    spark = spark or SparkSession.getActiveSession()
+    while _made and spark is not None:
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(_made[-1])
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        except Exception:  # the session has ended, or the store has
+            return
+        _made.pop()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there, and lost executors cost nothing done before."""
     spark = df.sparkSession
     bounded_batches(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
