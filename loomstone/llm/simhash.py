@@ -146,8 +146,10 @@ def links(fps: DataFrame, width: int, bits: int, tables: list[tuple[int, int]],
     words = [f"f{i}" for i in range(width)]
     table = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col(f"f{w}").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, (w, m) in enumerate(tables)]))
     keys = fps.select("node", *words, table.alias("k")).select("node", *words, F.xxhash64("k.t", "k.key").alias("bucket"))
-    # buckets of more than a tile are at most a TILE-th of the rows; Spark sees their number and picks the join
-    large = keys.groupBy("bucket").count().filter(F.col("count") > TILE).select("bucket", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
+    # buckets of more than a tile are at most a TILE-th of the rows; written, so that Spark sees how many there are
+    # and shuffles the rows to meet them only if they are many
+    counts = keys.groupBy("bucket").count().filter(F.col("count") > TILE)
+    large = written(counts.select("bucket", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "simhash-large")
     tiled = keys.join(large, "bucket", "left")
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     both = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda u: F.xxhash64("bucket", F.least(tile, u), F.greatest(tile, u)))
