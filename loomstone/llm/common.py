@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of the batches in which rows go to Python: what bounds a worker's memory where texts are long.
-BATCH_BYTES = "4m"
+BATCH_BYTES = "1m"
 
 _own_folder: str | None = None
 _made: list[str] = []
@@ -102,7 +102,7 @@ def lengths(column: pa.Array) -> np.ndarray:
     return np.asarray(pc.fill_null(pc.binary_length(column), 0).cast(pa.int64()))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 19):
     """The batch in runs of rows of about `most` bytes in the column; a longer row stands alone."""
     total = np.cumsum(lengths(batch.column(batch.schema.get_field_index(column))))
     at, rows = 0, batch.num_rows
