@@ -201,7 +201,7 @@ def decode_lanes(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         bounds = model.predict(m)
         step = coder.range[:m] >> U(TOTAL)
         value = coder.value(lanes, step, (1 << TOTAL) - 1)
-        symbol = (bounds[:, 1:4] <= value[:, None]).sum(axis=1)
+        symbol = (bounds[:, 1] <= value).astype(np.int64) + (bounds[:, 2] <= value) + (bounds[:, 3] <= value)
         at = np.arange(m) * 5 + symbol
         first = bounds.take(at)
         coder.narrow(lanes, first, bounds.take(at + 1) - first, step)

@@ -8,7 +8,7 @@ store that Spark can write will do and lost executors leave no half written file
 from __future__ import annotations
 
 import json
-import uuid
+import os
 import zlib
 from functools import lru_cache
 
@@ -19,55 +19,163 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rangecoder
-from .common import lean, read, shared_dir, slices
+from .common import fresh, lean, read, slices
 from .registry import query
+from .words import U, mixed, spans_hash
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Pieces that a worker remembers at most.
+PIECES = 1 << 20
 #: Ids from which a chunk is closed at the next end of a document.
 CHUNK = rangecoder.BLOCK * rangecoder.LANES
 SCHEMA = "part int, chunk int, docs array<struct<doc_id:long,n:long>>, data binary"
 
 
+OTHER, LETTER, NUMBER, BLANK = 0, 1, 2, 3
+
+
+@lru_cache(maxsize=1)
+def kinds() -> np.ndarray:
+    """Whether each code point is a letter, a number, white space or none of them, as the byte-level rule has it."""
+    import regex
+
+    out = np.zeros(0x110000, np.uint8)
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, r"[\p{White_Space}]+")):
+        for run in regex.finditer(pattern, every):
+            a, b = ord(run[0][0]), ord(run[0][-1])
+            out[a : b + 1] = kind
+    return out
+
+
+def cut(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts begin, given all their code points and where each text ends.
+
+    The byte-level rule: contractions after an apostrophe; runs of letters, of numbers and of other signs, each
+    with a space before it; runs of white space, of which the last character before something else stays apart
+    or, if it is a space, goes with what follows.
+    """
+    n = len(points)
+    kind = kinds()[points]
+    text_start = np.zeros(n + 1, bool)
+    text_start[0] = True
+    text_start[ends] = True
+    new = text_start[:n].copy()
+    new[1:] |= kind[1:] != kind[:-1]
+    space = points == 32
+    joined = np.zeros(n, bool)  # a space stands right before, in the same text
+    joined[1:] = space[:-1] & ~text_start[1:n]
+    blank = kind == BLANK
+    last = np.zeros(n, bool)  # the last white space before something else
+    last[:-1] = blank[:-1] & ~blank[1:] & ~text_start[1:n]
+    starts = new & (blank | ~joined) | last
+    # apostrophes that begin a piece and are alone in it: the letters of a contraction go with them
+    for i in np.nonzero((points == 39) & starts)[0].tolist():
+        if i + 1 < n and kind[i + 1] == LETTER and not text_start[i + 1]:
+            two = points[i + 1 : i + 3].tolist()
+            size = 1 if two[0] in (115, 116, 109, 100) else 2 if two in ([114, 101], [118, 101], [108, 108]) and not text_start[i + 2] else 0
+            if size:
+                starts[i + 1] = False
+                after = i + 1 + size
+                if after < n:
+                    starts[after] = True
+    return np.nonzero(starts)[0]
+
+
+class Known:
+    """Ids of the pieces met so far, by a hash of the piece, in an open table that numpy probes for many at once."""
+
+    def __init__(self, bits: int = 16):
+        self.keys, self.slots = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        self.at, self.ids, self.count, self.all = np.zeros(2, np.int64), np.zeros(1 << 10, np.int32), 0, np.zeros(0, np.uint64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        low = len(self.keys) - 1
+        out = np.full(len(keys), -1, np.int64)
+        left, at = np.arange(len(keys)), (keys & U(low)).astype(np.int64)
+        while len(left):
+            slot = self.slots[at]
+            hit = (slot >= 0) & (self.keys[at] == keys[left])
+            out[left[hit]] = slot[hit]
+            more = (slot >= 0) & ~hit
+            left, at = left[more], (at[more] + 1) & low
+        return out
+
+    def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+        """Distinct keys that aren't there."""
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
+        end = int(self.at[self.count])
+        if end + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:end], np.zeros(2 * (end + len(flat)), np.int32)])
+        self.ids[end : end + len(flat)] = flat
+        self.at = np.concatenate([self.at[: self.count + 1], end + np.cumsum(sizes), [0]])
+        self.at[-1] = self.at[-2]
+        first, self.count = self.count, self.count + len(keys)
+        self.all = np.concatenate([self.all, keys])
+        if 2 * self.count > len(self.keys):
+            bits = (4 * self.count).bit_length()
+            self.keys, self.slots = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+            first, keys = 0, self.all
+        low = len(self.keys) - 1
+        left, at = np.arange(len(keys)), (keys & U(low)).astype(np.int64)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = first + left[free]  # of several for one slot the last stays
+            won = self.slots[at] == first + left
+            self.keys[at[won]] = keys[left[won]]
+            left, at = left[~won], (at[~won] + 1) & low
+
+
 class Encoder:
     """A tokenizer file's encoder for many texts.
 
-    Where the tokenizer cuts texts by the byte-level rule before anything else, each distinct piece of text is
-    encoded once and remembered; texts that hold an added token, and other tokenizers, are encoded whole.
+    Where the tokenizer cuts texts by the byte-level rule before anything else, texts are cut with numpy, each
+    distinct piece is encoded once and remembered; texts that hold an added token, and other tokenizers, are
+    encoded whole.
     """
 
     def __init__(self, path: str):
-        import regex
-        from public_tokenizers import PATTERN
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             own = json.load(f)
-        cut = own.get("pre_tokenizer") or {}
-        plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and not own.get("normalizer")
-        self.cut = regex.compile(PATTERN).findall if plain else None
+        rule = own.get("pre_tokenizer") or {}
+        self.plain = rule.get("type") == "ByteLevel" and not rule.get("add_prefix_space") and rule.get("use_regex", True) and not own.get("normalizer")
         self.added = [t["content"] for t in own.get("added_tokens", [])]
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if self.cut is None:
-            return [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if len(self.known) > 400_000:
-            self.known.clear()
-        known, out = self.known, []
-        cuts = [None if any(a in t for a in self.added) else self.cut(t) for t in texts]
-        new = list({p for c in cuts if c for p in c if p not in known})
-        for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[piece] = tuple(e.ids)
-        for text, c in zip(texts, cuts):
-            if c is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64))
-                continue
-            ids: list[int] = []
-            for p in c:
-                ids += known[p]
-            out.append(np.array(ids, np.int64))
-        return out
+        self.known = Known()
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each has."""
+        if not self.plain or any(a in t for t in texts for a in self.added):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array([i for x in found for i in x], np.int32), np.array([len(x) for x in found], np.int64)
+        text = "".join(texts)
+        if not text:
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        text_ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        begin = cut(points, text_ends)
+        end = np.append(begin[1:], len(points))
+        keys = spans_hash(mixed(points.astype(np.uint64)), begin, end)
+        at = self.known.find(keys)
+        miss = np.nonzero(at < 0)[0]
+        if len(miss):
+            new, first = np.unique(keys[miss], return_index=True)
+            if self.known.count > PIECES:
+                self.known = Known()
+                new, first, miss = *np.unique(keys, return_index=True), np.arange(len(keys))
+            pieces = [text[begin[k] : end[k]] for k in miss[first].tolist()]
+            self.known.add(new, [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
+            at[miss] = self.known.find(keys[miss])
+        start = self.known.at[at]
+        size = self.known.at[at + 1] - start
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = self.known.ids[np.arange(total[-1]) + np.repeat(start - total[:-1], size)]
+        first = np.searchsorted(begin, np.concatenate([[0], text_ends]))
+        return ids, np.diff(total[first])
 
 
 @lru_cache(maxsize=2)
@@ -89,16 +197,19 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int, parts: i
 
     def run(batches):
         part, encode, chunk, docs, ids, held = TaskContext.get().partitionId(), encoder(tokenizer), 0, [], [], 0
+        last = np.array([end_id], np.int32)
 
         def close():
             return pa.record_batch([pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([docs], schema.field(2).type), pa.array([rangecoder.encode(np.concatenate(ids))], pa.binary())], schema=schema)
 
         for batch in batches:
             for piece in slices(batch, "text"):
-                for doc, found in zip(piece.column(0).to_pylist(), encode(piece.column(1).to_pylist())):
-                    ids += [found, np.array([end_id], np.int64)]
-                    docs.append({"doc_id": doc, "n": len(found) + 1})
-                    held += len(found) + 1
+                found, counts = encode(piece.column(1).to_pylist())
+                at = 0
+                for doc, n in zip(piece.column(0).to_pylist(), counts.tolist()):
+                    ids += [found[at : at + n], last]
+                    docs.append({"doc_id": doc, "n": n + 1})
+                    held, at = held + n + 1, at + n
                     if held >= CHUNK:
                         yield close()
                         chunk, docs, ids, held = chunk + 1, [], [], 0
@@ -146,5 +257,4 @@ def op2_token_output(spark, sf_dir):
     """All documents' token ids, each followed by id 2, written in doc_id order and read back from the files."""
     import public_tokenizers
 
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    return read_back(spark, write(read(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER), 2))
+    return read_back(spark, write(read(spark, sf_dir, "documents"), fresh(spark, "tokens"), public_tokenizers.path(TOKENIZER), 2))

@@ -1,4 +1,5 @@
 import bisect
+import random
 import zlib
 
 import numpy as np
@@ -51,8 +52,24 @@ def test_encoder_equals_the_library():
 
     library = Tokenizer.from_file(PATH)
     texts = ["", " ", "  \n a", "<|endoftext|> x", "it's we'll 'tis", "x" * 300, "🙂 é   z", "\n\n\n  \t b  ", "12 345  6", "a b c"]
-    for text, ids in zip(texts, tokenfile.Encoder(PATH)(texts)):
-        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    r = random.Random(1)
+    for signs in ("ab'sltdrevm  \n\t1.é ", " \u00a0\u0085\u2028\u200b\u3000\x1c\x1f\x0bx1²Ⅳ·_中🙂", "''sre ll"):
+        texts += ["".join(r.choice(signs) for _ in range(r.randint(0, 60))) for _ in range(300)]
+    encoder = tokenfile.Encoder(PATH)
+    for own in (texts, texts[1:3] + texts[4:], [""], []):
+        ids, counts = encoder(own)
+        want = [library.encode(t, add_special_tokens=False).ids for t in own]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_remembered_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(tokenfile, "PIECES", 5)
+    encoder = tokenfile.Encoder(PATH)
+    for k in range(5):
+        texts = [f"some words {k} and {j}" for j in range(20)]
+        ids, counts = encoder(texts)
+        assert ids.tolist() == [i for t in texts for i in encoder.tokenizer.encode(t, add_special_tokens=False).ids]
+    assert encoder.known.count < 60
 
 
 def test_files(spark, odd_documents, tmp_path):
