@@ -61,10 +61,10 @@ def _scored(batches, ids: np.ndarray, asked: np.ndarray, scale: float):
             yield own, products(matrix(part.column(1), asked.shape[1], scale), asked), own[None, :] != ids[:, None]
 
 
-def _counts(low: np.ndarray, width: np.ndarray, need: np.ndarray, ids: np.ndarray, asked: np.ndarray, scale: float):
-    """For mapInArrow: a partition's scores by query and bin, from the top down to where they alone reach `need`.
+def _counts(low: np.ndarray, high: np.ndarray, width: np.ndarray, need: np.ndarray, ids: np.ndarray, asked: np.ndarray, scale: float):
+    """For mapInArrow: a partition's scores from low to high, by query and bin, from the top down to where they alone reach `need`.
 
-    A lower bin can't hold the k-th score, as this partition's own rows already reach it above.
+    Bins may reach beyond high, where rows are off `need` already. A lower bin can't hold the k-th score, as this partition's own rows already reach it above.
     """
     schema = pa.schema([("query", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())])
 
@@ -72,7 +72,7 @@ def _counts(low: np.ndarray, width: np.ndarray, need: np.ndarray, ids: np.ndarra
         seen = np.zeros((len(ids), BINS), np.int64)
         for _, scores, counts in _scored(batches, ids, asked, scale):
             bins = (scores - low[:, None]) // width[:, None]
-            ok = counts & (bins >= 0) & (bins < BINS)
+            ok = counts & (bins >= 0) & (bins < BINS) & (scores <= high[:, None])
             flat = (np.arange(len(ids))[:, None] * BINS + bins)[ok]
             seen += np.bincount(flat, minlength=seen.size).reshape(seen.shape)
         above = seen[:, ::-1].cumsum(axis=1)[:, ::-1] - seen
@@ -106,16 +106,18 @@ def block_top_k(rows: DataFrame, most: float, ids: np.ndarray, vectors: np.ndarr
     bound = np.abs(vectors).astype(np.float64).sum(axis=1) * most
     bound = np.minimum(bound, 2.0**62).astype(np.int64)
     low, need, done = -bound, np.full(len(ids), k, np.int64), np.zeros(len(ids), bool)
+    high = np.full(len(ids), np.iinfo(np.int64).max)
     width = (2 * bound.astype(np.float64) / BINS).astype(np.int64) + 1
     while not done.all():
         open_ = np.nonzero(~done)[0]
-        counted = rows.mapInArrow(lean(_counts(low[open_], width[open_], need[open_], ids[open_], vectors[open_], scale)), "query int, bin int, n long")
+        counted = rows.mapInArrow(lean(_counts(low[open_], high[open_], width[open_], need[open_], ids[open_], vectors[open_], scale)), "query int, bin int, n long")
         found = counted.groupBy("query", "bin").agg(F.sum("n").alias("n")).toPandas()
         for q, group in found.sort_values("bin", ascending=False).groupby("query"):
             at, total = open_[q], 0
             for b, n in zip(group["bin"], group["n"]):
                 if total + n >= need[at]:
                     low[at] += b * width[at]
+                    high[at] = low[at] + (width[at] - 1)
                     done[at] = width[at] == 1 or k - need[at] + total + n <= SPARE * k
                     need[at] -= total
                     width[at] = 1 if done[at] else (width[at] - 1) // BINS + 1

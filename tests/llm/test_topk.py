@@ -26,6 +26,18 @@ def test_equals_brute_force(spark, n, same, monkeypatch):
     assert sorted(tuple(g) for g in got) == brute(ints, [x for x in ints if x[0] % 10 == 0], 5)
 
 
+@pytest.mark.parametrize("seed", [7, 19])
+def test_copies_below_a_few_better_rows(spark, seed):
+    """300 rows of one score, over SPARE * k, below some that are slightly better: bins are refined."""
+    r = np.random.default_rng(seed)
+    query = np.floor(1024 * r.normal(size=8)).astype(np.int64)
+    vectors = np.concatenate([np.repeat(query[None], 300, 0), query + r.integers(-3, 4, size=(20, 8)), np.floor(1024 * r.normal(size=(50, 8))).astype(np.int64)])
+    ints = list(enumerate(vectors))
+    rows = topk.usable(spark.createDataFrame([(i, v.astype(float).tolist()) for i, v in ints], "vec_id long, embedding array<double>").repartition(4), "vec_id", "embedding")
+    got = topk.top_k(rows.filter("id = 0"), rows, 10, 1.0).collect()
+    assert sorted(tuple(g) for g in got) == brute(ints, ints[:1], 10)
+
+
 def test_rows_that_take_no_part(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [3.0, 1.0]), (5, [3.0, 1.0]), (None, [9.0, 9.0]), (100, [-1.0, -2.0])]
     table = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, score int")
