@@ -65,17 +65,17 @@ def fingerprints(texts: list[bytes], shingle: int, width: int = 1, seed: int = 4
     return out
 
 
-def fingerprinted(documents: DataFrame, shingle: int = 3, width: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, f0 and on (the fingerprint's 64-bit words as signed longs); null and wordless texts have 0."""
-    schema = pa.schema([("doc_id", pa.int64()), *((f"f{i}", pa.int64()) for i in range(width))])
+def fingerprinted(documents: DataFrame, shingle: int = 3, width: int = 1, text: str = "text", key: str = "doc_id", also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, f0 and on (the fingerprint's 64-bit words as signed longs); null and wordless texts have 0. Longs named in also go along."""
+    schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in (*(f"f{i}" for i in range(width)), *also))])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 found = fingerprints(values(part.column(1)), shingle, width).view(np.int64)
-                yield pa.record_batch([part.column(0), *(pa.array(found[:, i]) for i in range(width))], schema=schema)
+                yield pa.record_batch([part.column(0), *(pa.array(found[:, i]) for i in range(width)), *part.columns[2:]], schema=schema)
 
-    return documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), "doc_id long" + "".join(f", f{i} long" for i in range(width)))
+    return documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *also).mapInArrow(lean(run), ", ".join(f"{n} long" for n in schema.names))
 
 
 def signed(bits: int) -> int:
@@ -172,13 +172,13 @@ def links(fps: DataFrame, width: int, bits: int, tables: list[tuple[int, int]],
     return dealt.mapInArrow(lean(run), "a long, b long")
 
 
-def near_groups(marked: DataFrame, bits: int = 3, width: int = 1) -> DataFrame:
+def near_groups(marked: DataFrame, bits: int = 3, width: int = 1, roots: bool = False) -> DataFrame:
     """doc_id, f0 and on (and more) -> with component_id: the smallest doc_id reached over fingerprints at most `bits` apart.
 
     With 64 bits no link is lost. Wider fingerprints, for larger distances, share a bucket with a chance: of
     64 tables of 16 bits, a pair that differs in a share p of its bits shares one but for (1 - (1 - p) ** 16) ** 64.
     Rows with a null id link others and get their component's id, null if no row of it has one. Repeated rows
-    are kept.
+    are kept. With roots, component_root names each row's component, also one without an id.
     """
     spark = marked.sparkSession
     words = [f"f{i}" for i in range(width)]
@@ -190,7 +190,8 @@ def near_groups(marked: DataFrame, bits: int = 3, width: int = 1) -> DataFrame:
     forest = components(written(links(distinct.select("node", *words), width, bits, tables, parts), "simhash-links").distinct(), "simhash-components")
     rooted = distinct.select("node", "doc_id").join(forest, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = written(rooted.join(least, "root").select("node", "component_id"), "simhash-named")
+    root = [F.col("root").alias("component_root")] if roots else []
+    named = written(rooted.join(least, "root").select("node", "component_id", *root), "simhash-named")
     return marked.withColumn("node", node).join(named, "node").drop("node")
 
 
@@ -202,14 +203,17 @@ NEAR_SHINGLE, NEAR_WIDTH, NEAR_BITS = 5, 4, 52
 def near_deduplicated(documents: DataFrame) -> DataFrame:
     """One document of each group of near copies: the one of the smallest id; of its repeated rows one.
 
-    A row with a null id stays if no document with an id is like it.
+    A row with a null id stays if no document with an id is like it; of several like each other, one does.
     """
-    marked = written(fingerprinted(documents, NEAR_SHINGLE, NEAR_WIDTH), "simhash-marked")
-    groups = near_groups(marked, NEAR_BITS, NEAR_WIDTH)
-    kept = groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = documents.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
-    # rows of one id, equal or not, are copies of one document
-    return rows.dropDuplicates(["doc_id"]) if "doc_id" in documents.columns else rows
+    hashed = documents.withColumn("__text", F.xxhash64(F.col("text").cast("string")))
+    marked = written(fingerprinted(hashed, NEAR_SHINGLE, NEAR_WIDTH, also=("__text",)), "simhash-marked")
+    groups = near_groups(marked, NEAR_BITS, NEAR_WIDTH, roots=True)
+    # rows of one id, equal or not, are copies of one document: the one that is kept is of a group that the id names
+    named = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.min("__text").alias("__kept"))
+    nameless = groups.filter("component_id IS NULL").groupBy("component_root").agg(F.min("__text").alias("__kept")).select(F.lit(None).cast("long").alias("doc_id"), "__kept")
+    kept = named.unionByName(nameless).withColumnRenamed("doc_id", "__id")
+    rows = hashed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__kept")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "__text"]).drop("__text")
 
 
 @query("op4_simhash")

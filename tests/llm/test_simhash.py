@@ -100,6 +100,14 @@ def test_near_copies(spark, documents):
     assert len(kept & originals) >= len(distinct) - 4  # the table has near copies of its own
 
 
+def test_rows_without_an_id(spark):
+    """A null-id text unlike all others stays; copies of one stay once; copies of a document with an id go."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(1, text(1)), (None, text(1)), (2, text(2)), *[(None, text(k)) for k in (3, 4, 5, 6)], (None, text(4)), (3, text(7)), (3, text(2))]
+    kept = [tuple(r) for r in simhash.near_deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(kept, key=str) == sorted([(1, text(1)), (2, text(2)), (3, text(7)), *[(None, text(k)) for k in (3, 4, 5, 6)]], key=str)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 300) if i % 100 < 99] + [(500, 501), (501, 500), (7, 7)]
     got = {x["node"]: x["root"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
