@@ -22,11 +22,13 @@ from .registry import query
 RECURS = 5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp template svg math object select".split())
-DROPPED = frozenset("nav footer aside form button dialog menu head header figcaption label fieldset".split())
+RAW = frozenset("script style textarea title noscript iframe xmp template svg select".split())
+#: Of these, those that run to the end of the page if they aren't closed; of others then only the tag goes.
+TO_END = frozenset("script style textarea title".split())
+DROPPED = frozenset("nav footer aside form button dialog menu head header label fieldset".split())
 CONTAINERS = frozenset("div section nav aside header footer form ul ol dl table blockquote details figure center menu fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-BLOCKS = CONTAINERS | HEADINGS | frozenset("p li dt dd tr td th pre article main body html address caption thead tbody tfoot hr summary hgroup".split())
+BLOCKS = CONTAINERS | HEADINGS | frozenset("p li dt dd tr td th pre article main body html address caption thead tbody tfoot hr summary hgroup figcaption".split())
 SCOPES = frozenset("article main body html".split())
 #: Words in a class or an id that mark what isn't the article.
 MARKS = frozenset(
@@ -35,7 +37,12 @@ MARKS = frozenset(
     "subscription signup login register search comment comments commentlist reply replies respond disqus discussion share sharing social related "
     "recommended recommendations toolbar pagination pager skip hidden".split()
 )
-#: The same for elements outside an article; inside, such an element holds the article's own head.
+#: Those that can't be a part's subject either: all that counts inside an article, in classes alone.
+INNER_MARKS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo nav navbar navigation breadcrumb breadcrumbs sidebar widget "
+    "cookie cookies consent gdpr popup modal newsletter subscribe signup comments commentlist disqus sharing pagination pager toolbar".split()
+)
+#: The same as MARKS for elements outside an article; inside, such an element holds the article's own head.
 OUTER_MARKS = frozenset("header masthead topbar banner".split())
 #: Words before a mark that make it say something else, as in has-sidebar.
 NEGATIONS = frozenset("has with no without".split())
@@ -51,10 +58,10 @@ def marked(attributes: str, inside: bool = False) -> bool:
     """Whether an element's class, id, role or state says that it isn't part of the article; inside: whether it is in one."""
     for name, value in ATTRIBUTE.findall(attributes):
         name = name.lower()
-        if name in ("class", "id"):
+        if name == "class" or name == "id" and not inside:
             before = ""
             for word in NOT_WORD.split(value.lower()):
-                if (word in MARKS or not inside and word in OUTER_MARKS) and before not in NEGATIONS:
+                if (word in INNER_MARKS if inside else word in MARKS or word in OUTER_MARKS) and before not in NEGATIONS:
                     return True
                 before = word
         elif name == "role":
@@ -104,7 +111,7 @@ def _parse(html: str, by_marks: bool) -> tuple[list[tuple[str, int, int]], list[
         if name in CONTAINERS and container >= 0:
             digests[container] = digest
 
-    at, size = 0, len(html)
+    at, size, unclosed = 0, len(html), set()
     while at < size:
         found = TOKEN.search(html, at)
         if not found:
@@ -129,8 +136,13 @@ def _parse(html: str, by_marks: bool) -> tuple[list[tuple[str, int, int]], list[
                     break
             continue
         if name in RAW:
-            end = ENDS[name].search(html, at)
-            at = end.end() if end else size
+            end = ENDS[name].search(html, at) if name not in unclosed else None
+            if end:
+                at = end.end()
+            elif name in TO_END:
+                at = size
+            else:
+                unclosed.add(name)
             text.append(" ")
             continue
         if name == "br":

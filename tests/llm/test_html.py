@@ -23,6 +23,19 @@ def test_extract(page, text):
     assert html.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><p>0</p><section id='discussion'><h2 id='how-to-register'>H</h2><p>a</p></section><section id=related-work><p>b</p></section></article>", "0\nH\na\nb"),
+        ("<article><p class='search reply'>a</p><div class='sponsored'>no</div></article>", "a"),
+        ("<article><figure><img><figcaption>c</figcaption></figure><p>x <math><mi>y</mi></math></p><p><object>z</object></p></article>", "c\nx y\nz"),
+        ("<p>a<svg><p>b", "a\nb"), ("<p>a<select><p>b", "a\nb"), ("<p>a<math><p>b", "a\nb"), ("<p>a<script>b<p>c", "a"), ("<p>a<svg><text>s</text></svg>b", "a b"),
+    ],
+)
+def test_articles_keep_their_text(page, text):
+    assert html.extract(page) == text
+
+
 def test_deep_and_long_pages():
     assert html.extract("<div>" * 20_000 + "deep") == "deep"
     assert html.extract("<p>" + "word " * 200_000) == ("word " * 200_000).strip()
