@@ -1,8 +1,8 @@
 """HTML extraction with site template removal.
 
-A page is parsed into blocks of text and a digest for each container element, made from its children's. The
-digests of containers that hold text are counted by host over distinct pages; a container that recurs on many
-pages of its host is template, and its blocks go. What tags, roles and class names mark as menus, headers,
+A page is parsed into blocks of text and a digest for each block element, made from its children's. The
+digests of elements that hold text, inside and outside the article, are counted by host over distinct pages; an
+element that recurs on many pages of its host is template, and its blocks go. What tags, roles and class names mark as menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles or comments goes by itself.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import lean, read, slices
 from .registry import query
 
-#: Pages of a host, with different contents, on which a container recurs to be template.
+#: Pages of a host, with different contents, on which an element recurs to be template.
 RECURS = 5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -29,6 +29,7 @@ DROPPED = frozenset("nav footer aside form button dialog menu head header label
 CONTAINERS = frozenset("div section nav aside header footer form ul ol dl table blockquote details figure center menu fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCKS = CONTAINERS | HEADINGS | frozenset("p li dt dd tr td th pre article main body html address caption thead tbody tfoot hr summary hgroup figcaption".split())
+#: Block elements that have no digest: what holds the page or its article.
 SCOPES = frozenset("article main body html".split())
 #: Words in a class or an id that mark what isn't the article.
 MARKS = frozenset(
@@ -79,10 +80,10 @@ def parse(html: str) -> tuple[list[tuple[str, int, int]], list[int], list[int]]:
 
 
 def _parse(html: str, by_marks: bool) -> tuple[list[tuple[str, int, int]], list[int], list[int]]:
-    """Blocks (text, container, in an article: 2, in main: 1, else 0), containers' digests, and containers' parents.
+    """Blocks (text, element, in an article: 2, in main: 1, else 0), block elements' digests, and their parents.
 
-    Container -1 is the page. Blocks of dropped elements aren't there; their containers have no text and no digest
-    of use. Never fails: unknown, unclosed and cut off markup is skipped like a browser would.
+    Element -1 is the page. Blocks of dropped elements aren't there; their elements have no text and no digest
+    of use. Blocks outside the article are there: see best. Never fails: unknown, unclosed and cut off markup is skipped like a browser would.
     """
     from xxhash import xxh64_intdigest
 
@@ -108,7 +109,7 @@ def _parse(html: str, by_marks: bool) -> tuple[list[tuple[str, int, int]], list[
         name, container, dropped, _, parts = stack.pop()
         digest = xxh64_intdigest("\0".join((name, *parts)))
         stack[-1][4].append(f"{digest:x}")
-        if name in CONTAINERS and container >= 0:
+        if name in BLOCKS and name not in SCOPES and not dropped and container >= 0:
             digests[container] = digest
 
     at, size, unclosed = 0, len(html), set()
@@ -175,7 +176,7 @@ def _parse(html: str, by_marks: bool) -> tuple[list[tuple[str, int, int]], list[
         if name in SCOPES and not dropped and name != "html" and name != "body":
             drops = by_marks and bool(attributes) and bool(region) and marked(attributes, True)
             region = max(region, 2 if name == "article" else 1)
-        if name in CONTAINERS and not drops:
+        if name in BLOCKS and name not in SCOPES and not drops:
             parents.append(container)
             digests.append(0)
             container = len(digests) - 1
@@ -183,12 +184,17 @@ def _parse(html: str, by_marks: bool) -> tuple[list[tuple[str, int, int]], list[
     while len(stack) > 1:
         close()
     flush()
-    best = max((r for _, _, r in blocks), default=0)
-    return [b for b in blocks if b[2] == best], digests, parents
+    return blocks, digests, parents
+
+
+def best(blocks: list) -> list:
+    """The blocks in an article, or else in main, or else all."""
+    region = max((r for _, _, r in blocks), default=0)
+    return [b for b in blocks if b[2] == region]
 
 
 def with_text(blocks: list, parents: list[int]) -> set[int]:
-    """The containers that hold a block at any depth."""
+    """The elements that hold a block at any depth."""
     out: set[int] = set()
     for _, container, _ in blocks:
         while container >= 0 and container not in out:
@@ -198,7 +204,7 @@ def with_text(blocks: list, parents: list[int]) -> set[int]:
 
 
 def extract(html: str, template: frozenset[int] = frozenset()) -> str:
-    """The page's blocks joined by line feeds, without those in containers whose digest is template."""
+    """The blocks of the page's article joined by line feeds, without those in elements whose digest is template."""
     blocks, digests, parents = parse(html)
     gone: dict[int, bool] = {-1: False}
 
@@ -211,7 +217,7 @@ def extract(html: str, template: frozenset[int] = frozenset()) -> str:
             gone[c] = gone[parents[c]] or digests[c] in template
         return gone[path[0]] if path else gone[container]
 
-    return "\n".join(line for line, container, _ in blocks if not (template and is_gone(container)))
+    return "\n".join(line for line, container, _ in best(blocks) if not (template and is_gone(container)))
 
 
 def host(url: Column) -> Column:
@@ -222,7 +228,7 @@ def host(url: Column) -> Column:
 def templates(pages: DataFrame, recurs: int = RECURS) -> DataFrame:
     """host, page (hash of host and html), html -> page, template: digests on it that recur on `recurs` pages of its host.
 
-    Only containers whose going would change the result are counted. Copies of a page count once. Counts are
+    Elements anywhere on the page that hold text are counted, single paragraphs too. Copies of a page count once. Counts are
     aggregated in part before they are shuffled, so a host with most of the pages is no burden to one task;
     a page gets its own digests only.
     """

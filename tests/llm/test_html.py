@@ -60,6 +60,14 @@ def test_templates(spark):
     assert html.extracted(pages.filter("false")).isEmpty()
 
 
+def test_templates_inside_articles(spark):
+    """Boilerplate of single blocks under article, main or body goes; what a host's pages have of their own stays."""
+    rows = [(i, f"http://a/{i}", f"<body><article><h2>Our story</h2><p>own text {i} of a page</p><p>Read us daily</p></article>") for i in range(8)]
+    rows += [(10 + i, f"http://b/{i}", f"<body><p>own text {i} of a page</p><p>All rights reserved</p>") for i in range(8)]
+    got = {g["page_id"]: g["text"] for g in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"own text {i % 10} of a page" for i in got} and len(got) == 16
+
+
 def test_query(spark, sf_dir):
     from loomstone.llm.queries import QUERIES
 
