@@ -15,11 +15,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, read, slices
+from .common import lean, read, slices, written
 from .registry import query
 
 #: Pages of a host, with different contents, on which an element recurs to be template.
 RECURS = 5
+#: And the share of the host's distinct pages that these must be.
+SHARE = 0.25
+#: A page whose article is template but for a smaller share of its characters than this keeps it whole.
+OWN = 0.1
+#: Keys that a host's pages are dealt over when they meet its templates.
+SALTS = 32
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp template svg select".split())
@@ -217,7 +223,11 @@ def extract(html: str, template: frozenset[int] = frozenset()) -> str:
             gone[c] = gone[parents[c]] or digests[c] in template
         return gone[path[0]] if path else gone[container]
 
-    return "\n".join(line for line, container, _ in best(blocks) if not (template and is_gone(container)))
+    found = best(blocks)
+    own = [line for line, container, _ in found if not (template and is_gone(container))]
+    if sum(map(len, own)) < OWN * sum(len(line) for line, _, _ in found):
+        own = [line for line, _, _ in found]
+    return "\n".join(own)
 
 
 def host(url: Column) -> Column:
@@ -225,33 +235,41 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, recurs: int = RECURS) -> DataFrame:
-    """host, page (hash of host and html), html -> page, template: digests on it that recur on `recurs` pages of its host.
+def templates(pages: DataFrame, recurs: int = RECURS, share: float = SHARE) -> DataFrame:
+    """host, html -> host, template: digests that recur on `recurs` and a `share` of the distinct pages of their host.
 
-    Elements anywhere on the page that hold text are counted, single paragraphs too. Copies of a page count once. Counts are
-    aggregated in part before they are shuffled, so a host with most of the pages is no burden to one task;
-    a page gets its own digests only.
+    Elements anywhere on the page that hold text are counted, single paragraphs too. Pages with equal articles
+    count once, whatever stands around them. Counts are aggregated in part before they are shuffled, so a host
+    with most of the pages is no burden to one task; a host has at most 1 / share times a page's elements.
     """
-    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("digest", pa.int64())])
+    from xxhash import xxh64_intdigest
+
+    schema = pa.schema([("host", pa.string()), ("content", pa.int64()), ("digest", pa.int64())])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "html"):
                 rows = []
-                for h, page, html in zip(*(c.to_pylist() for c in part.columns)):
+                for h, html in zip(*(c.to_pylist() for c in part.columns)):
                     blocks, digests, parents = parse(html or "")
-                    rows += [(h, page, d) for d in {digests[c] - (1 << 63) for c in with_text(blocks, parents)}]
+                    content = xxh64_intdigest("\n".join(line for line, _, _ in best(blocks))) - (1 << 63)
+                    # null stands for the page itself
+                    rows += [(h, content, None), *((h, content, d) for d in {digests[c] - (1 << 63) for c in with_text(blocks, parents)})]
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 3, schema)], schema=schema)
 
-    seen = pages.select("host", "page", "html").mapInArrow(lean(run), "host string, page long, digest long").distinct()
-    common = seen.groupBy("host", "digest").agg(F.count("*").alias("n")).filter(F.col("n") >= recurs)
-    return seen.join(common, ["host", "digest"]).groupBy("page").agg(F.collect_set("digest").alias("template"))
+    seen = pages.select("host", "html").mapInArrow(lean(run), "host string, content long, digest long").distinct()
+    counts = written(seen.groupBy("host", "digest").agg(F.count("*").alias("n")).filter(F.col("n") >= recurs), "html-counts")
+    sizes = counts.filter("digest IS NULL").select("host", F.col("n").alias("pages"))
+    common = counts.filter("digest IS NOT NULL").join(sizes, "host").filter(F.col("n") >= share * F.col("pages"))
+    return common.groupBy("host").agg(F.collect_set("digest").alias("template"))
 
 
 def extracted(pages: DataFrame, recurs: int = RECURS) -> DataFrame:
     """page_id, url, html -> page_id, url, text. Null html is empty; repeated rows are kept."""
-    keyed = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).withColumn("page", F.xxhash64("host", "html"))
-    rows = keyed.join(templates(keyed, recurs), "page", "left").select("page_id", "url", "html", "template")
+    keyed = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
+    # a host's pages are dealt over SALTS keys, each with a copy of its templates
+    salted = templates(keyed, recurs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = keyed.withColumn("salt", F.pmod(F.xxhash64("url", "html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "template")
     fields = rows.select("page_id", "url").schema
 
     def run(batches):

@@ -68,6 +68,18 @@ def test_templates_inside_articles(spark):
     assert got == {i: f"own text {i % 10} of a page" for i in got} and len(got) == 16
 
 
+def test_what_isnt_template(spark):
+    """The same article on pages that differ around it or in a line, and what few of a host's many pages share, stay."""
+    body = "<article><div class='entry-content'><p>An article that a host shows more than once.</p><p>And its end.</p></div>{}</article>"
+    rows = [(i, f"http://around/{i}", body.format("") + f"<p>menu {i}</p>") for i in range(7)]
+    rows += [(10 + i, f"http://line/{i}", body.format(f"<p>{i}</p>")) for i in range(7)]
+    rows += [(100 + i, f"http://many/{i}", f"<article><p>own text {i}</p>{'<blockquote>a quotation</blockquote>' if i < 5 else ''}</article>") for i in range(60)]
+    got = {g["page_id"]: g["text"] for g in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = "An article that a host shows more than once.\nAnd its end."
+    assert all(got[i] == whole and got[10 + i] == f"{whole}\n{i}" for i in range(7))
+    assert all(got[100 + i] == f"own text {i}" + ("\na quotation" if i < 5 else "") for i in range(60))
+
+
 def test_query(spark, sf_dir):
     from loomstone.llm.queries import QUERIES
 
