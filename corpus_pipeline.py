@@ -8,15 +8,14 @@ from pyspark.sql import functions as F
 from loomstone.llm import mixing, pieces, quality, simhash, substring
 from loomstone.llm.common import fresh, read
 
-#: Score below which a document is rejected, words of a passage that may not repeat, weights and size of the mix.
-LEAST_SCORE, PASSAGE = 0.5, 50
+#: Words of a passage that may not repeat, weights and size of the mix.
+PASSAGE = 50
 WEIGHTS, SHARE, EPOCHS = [3.0, 1.0, 2.0], 1.5, 2.0
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labelled ones among them, doesn't reject."""
-    scored = quality.scored(docs, quality.fitted(docs, read(spark, sf_dir, "labels")))
-    return scored.filter(F.col("score") >= LEAST_SCORE).select(*docs.columns)
+    return quality.classified(docs, read(spark, sf_dir, "labels")).filter("predicted = 1").select(*docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +25,9 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that also stand in a document of a smaller id; documents that lose all their words go."""
-    cut = substring.deduplicated(docs, PASSAGE).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.filter(F.col("text").isNull() | (F.col("text") == "") | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    worded = lambda: F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    cut = substring.deduplicated(docs.withColumn("__worded", worded()), PASSAGE).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.filter(~F.col("__worded") | worded()).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,6 +57,23 @@ def test_odd_documents(spark, sf_dir, odd_documents, no_documents, monkeypatch):
             assert n <= 2 * docs.count()
 
 
+def test_documents_that_lose_all_words(spark):
+    """They go, with or without white space before them; texts that had no words stay."""
+    text = " ".join(f"word{i}" for i in range(60))
+    texts = [text, text, "  " + text, "", " \t", None, "a few words"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"]: r["text"] for r in pipeline.substring_dedup(spark, docs, "").collect()} == {i: texts[i] for i in (0, 3, 4, 5, 6)}
+
+
+def test_what_the_classifier_rejects_goes(spark, sf_dir, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(quality, "fitted", lambda *a: None)
+    monkeypatch.setattr(quality, "scored", lambda docs, network: docs.withColumn("score", F.col("n_chars") / 10.0))
+    docs = spark.createDataFrame([(i, "t", "en", "s", i) for i in range(11)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in pipeline.quality_classifier(spark, docs, sf_dir).collect()} == {7, 8, 9, 10}
+
+
 def test_run(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(quality, "STEPS", 5)
     assert pipeline.run(spark, sf_dir).columns == ["doc_id", "lang", "source", "ids", "n_pieces"]
