@@ -23,10 +23,16 @@ _COUNTS = f"CAST(count(*) AS BIGINT) AS part_count, {BIG.format('part_rows')}, {
 
 @query("part_stats_total", DUCKDB + f"SELECT {_COUNTS} FROM parts WHERE partition_id > 199500")
 def part_stats_total(spark, sf_dir):
-    """Count, rows and bytes of all active parts (row 38)."""
+    """Count, rows and bytes of the active parts of the partitions that the WHERE clause keeps (row 38)."""
     return ops.totals(fixtures.parts(spark, sf_dir).filter("partition_id > 199500"))
 
 
+@query("part_stats_all", DUCKDB + f"SELECT {_COUNTS} FROM parts")
+def part_stats_all(spark, sf_dir):
+    """The same of all active parts (row 38)."""
+    return ops.totals(fixtures.parts(spark, sf_dir))
+
+
 @query("part_stats_of_none", DUCKDB + f"SELECT {_COUNTS} FROM parts WHERE partition_id < 0")
 def part_stats_of_none(spark, sf_dir):
     """The same without parts: one row of zeros (row 38)."""
