@@ -75,29 +75,115 @@ def test_every_close_pair_shares_a_bucket():
         for _ in range(200):
             flip = sum({1 << int(b) for b in r.integers(0, 64, bits)})
             assert any(flip & m == 0 for m in masks)
-    assert len(set(simhash.sampled_tables(4))) == 64
 
 
-def test_near_copies(spark, documents):
-    """Texts alike in 0.8 or more of their 5-word shingles are found, others are left."""
+def shingle_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) or frozenset([tuple(words)] if words else [])
+
+
+def survivors(rows):
+    """Brute force: rows (doc_id, text) of which one of each component at similarity 0.8 or more stays."""
+    sets = sorted({shingle_set(t) for _, t in rows}, key=lambda x: sorted(x))
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            both = len(a & sets[j])
+            if 9 * both >= 4 * (len(a) + len(sets[j])) and both:
+                root[find(i)] = find(j)
+    at = {s: find(i) for i, s in enumerate(sets)}
+    return at
+
+
+def edited(r, words, n):
+    """The words with n of them changed, left out or put in, anywhere."""
+    new = list(words)
+    for _ in range(n):
+        k = int(r.integers(0, len(new)))
+        kind = r.integers(0, 3)
+        if kind == 0:
+            new[k] = f"changed{r.integers(0, 99)}"
+        elif kind == 1 and len(new) > 6:
+            del new[k]
+        else:
+            new.insert(k, f"more{r.integers(0, 99)}")
+    return new
+
+
+@pytest.mark.parametrize("group", [2048, 4])
+def test_near_copies(spark, documents, monkeypatch, group):
+    """Exactly what links of similarity 0.8 or more connect is thinned to one, over texts of 1 to many words and chains of edits."""
+    monkeypatch.setattr(simhash, "GROUP_TEXTS", group)
     r = np.random.default_rng(3)
-    rows = [(row["doc_id"] * 10, row["text"]) for row in documents.filter("n_chars > 1500").limit(40).collect()]
-    originals = {i for i, _ in rows}
-    texts = {i: t.split() for i, t in rows}
-    copies = []
-    for i, words in texts.items():
-        new = list(words)
-        for k in r.choice(len(new), max(1, len(new) // 60), replace=False):
-            new[k] = "changed"
-        copies.append((i + 1, " ".join(new)))
-    kept = {x["doc_id"] for x in simhash.near_deduplicated(spark.createDataFrame(rows + copies, "doc_id long, text string")).collect()}
-    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-    for i, t in copies:
-        a, b = shingles(texts[i - 1]), shingles(t.split())
-        if len(a & b) / len(a | b) >= 0.8:
-            assert i not in kept
-    distinct = {tuple(t) for t in texts.values()}
-    assert len(kept & originals) >= len(distinct) - 4  # the table has near copies of its own
+    rows = [(row["doc_id"] * 100, row["text"]) for row in documents.limit(60).collect()]
+    for n in (5, 6, 7, 8, 9, 10, 12, 16, 20, 30, 45, 80, 200):
+        for v in range(4):
+            rows.append((10**6 + n * 100 + v, " ".join(f"w{n}v{v}x{i}" for i in range(n))))
+    for i, text in list(rows):
+        words = (text or "").split()
+        for k in range(1, 8 if len(words) < 400 else 3):
+            if len(words) >= 5:
+                words = edited(r, words, max(1, int(len(words) * r.choice([0.005, 0.01, 0.02, 0.03]))))
+                rows.append((i + k, " ".join(words)))
+    at = survivors(rows)
+    kept = [tuple(x) for x in simhash.near_deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()]
+    least = {}
+    for i, t in rows:
+        component = at[shingle_set(t)]
+        least[component] = min((i, t or ""), least.get(component, (i, t or "")))
+    assert sorted((i, t or "") for i, t in kept) == sorted(least.values())
+
+
+def test_alike_sets_share_a_part():
+    """Sets at the edge of 0.8 agree in a part that isn't empty, at every size and across the classes."""
+    r = np.random.default_rng(4)
+    lost = tried = 0
+    for n in [*range(2, 70), 100, 127, 128, 129, 250, 256, 300, 511, 512, 1000, 5000]:
+        for _ in range(6):
+            a = r.integers(0, 1 << 63, n).astype(np.uint64)
+            swap = n // 10 if r.integers(0, 2) else 0
+            drop = 0 if swap else n // 5
+            if drop and 5 * (n - drop) < 4 * n:
+                drop -= 1
+            b = np.concatenate([a[swap + drop :], r.integers(0, 1 << 63, swap).astype(np.uint64)])
+            same = n - swap - drop
+            if 9 * same < 4 * (len(a) + len(b)) or len(b) < 2:
+                continue
+            tried += 1
+            found = [set(simhash.part_keys(np.sort(x), np.array([len(x)]))[1].tolist()) for x in (a, b)]
+            lost += not found[0] & found[1]
+    assert tried > 300 and not lost
+
+
+def test_alike_brute_force():
+    r = np.random.default_rng(5)
+    for n in (1, 2, 30, 200):
+        base = [r.integers(0, 1 << 60, 40) for _ in range(3)]
+        sets = [np.unique(np.where(r.random(40) < r.choice([0.02, 0.06, 0.1]), r.integers(0, 1 << 60, 40), base[i % 3])).astype(np.uint64) for i in range(n)]
+        a, b = simhash.alike(np.concatenate(sets), np.array(list(map(len, sets))), np.arange(n))
+        root = list(range(n))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        got = list(range(n))
+        for x, y in zip(a.tolist(), b.tolist()):
+            got[x] = y
+        for i in range(n):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 9 * both >= 4 * (len(sets[i]) + len(sets[j])):
+                    root[find(i)] = find(j)
+        same = lambda f: {frozenset(i for i in range(n) if f(i) == k) for k in {f(i) for i in range(n)}}
+        assert same(lambda i: got[i]) == same(find)
 
 
 def test_rows_without_an_id(spark):
