@@ -8,22 +8,38 @@ from pyspark.sql import functions as F
 from .common import written
 
 
+#: Keys with over a KEYS-th of all rows, and over LEAST rows, are met by a broadcast: there are fewer than KEYS of them.
+KEYS, LEAST = 8192, 256
+
+
+def meet(many: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
+    """The rows of `many` joined to `one`, which has each key once, with n, at least as many as there are rows of the key in `many`; total: the sum of n.
+
+    Rows of frequent keys stay where they are and meet a table of fewer than KEYS rows; the others are shuffled.
+    """
+    bound = max(LEAST, total // KEYS)
+    hot = one.filter(F.col("n") > bound).drop("n")
+    cold = one.filter(F.col("n") <= bound).drop("n")
+    rest = many.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return many.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Edges (a, b) -> node, root: the smallest node that each node reaches. Nodes without edges aren't there.
 
-    Minima are aggregated before they are shuffled and joined back, many rows to one, so no task holds all
-    neighbours of a node and Spark can split a much linked node's rows. Each round is written to the shared
+    Minima are aggregated before they are shuffled and joined back, many rows to one; the minima of much linked
+    nodes are broadcast (see meet), so no task holds all neighbours of a node. Each round is written to the shared
     folder, which cuts lineage; the number of rounds grows with the logarithm of the longest path.
     """
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     mark = _mark(edges)
     while mark[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = written(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"), name)
+        large = meet(both.filter("b > a"), least, "a", 2 * mark[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = written(large, name)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        least = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), name)
+        small = meet(large, least, "a", large.count()).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = written(small.filter("a <> b").distinct(), name)
         before, mark = mark, _mark(edges)
         if mark == before:

@@ -1,9 +1,10 @@
 """HTML extraction with site template removal.
 
-A page is parsed into blocks of text and a digest for each block element, made from its children's. The
+A page is parsed once, into blocks of text and a digest for each block element, made from its children's. The
 digests of elements that hold text, inside and outside the article, are counted by host over distinct pages; an
-element that recurs on many pages of its host is template, and its blocks go. What tags, roles and class names mark as menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles or comments goes by itself.
+element that recurs on many pages of its host is template, and its blocks go. What tags, roles and class names mark as
+menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments goes besides. Only parsing is
+Python; counting, meeting a host's templates and cutting are DataFrame functions over the parsed pages.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ MARKS = frozenset(
 #: Those that can't be a part's subject either: all that counts inside an article, in classes alone.
 INNER_MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo nav navbar navigation breadcrumb breadcrumbs sidebar widget "
-    "cookie cookies consent gdpr popup modal newsletter subscribe signup comments commentlist disqus sharing pagination pager toolbar".split()
+    "cookie cookies consent gdpr popup modal newsletter subscribe signup comment comments commentlist disqus sharing pagination pager toolbar".split()
 )
 #: The same as MARKS for elements outside an article; inside, such an element holds the article's own head.
 OUTER_MARKS = frozenset("header masthead topbar banner".split())
@@ -86,7 +87,7 @@ def parse(html: str) -> tuple[list[tuple[str, int, int]], list[int], list[int]]:
 
 
 def _parse(html: str, by_marks: bool) -> tuple[list[tuple[str, int, int]], list[int], list[int]]:
-    """Blocks (text, element, in an article: 2, in main: 1, else 0), block elements' digests, and their parents.
+    """Blocks (text, element, in an article or main: 1, else 0), block elements' digests, and their parents.
 
     Element -1 is the page. Blocks of dropped elements aren't there; their elements have no text and no digest
     of use. Blocks outside the article are there: see best. Never fails: unknown, unclosed and cut off markup is skipped like a browser would.
@@ -181,7 +182,7 @@ def _parse(html: str, by_marks: bool) -> tuple[list[tuple[str, int, int]], list[
             flush()
         if name in SCOPES and not dropped and name != "html" and name != "body":
             drops = by_marks and bool(attributes) and bool(region) and marked(attributes, True)
-            region = max(region, 2 if name == "article" else 1)
+            region = 1
         if name in BLOCKS and name not in SCOPES and not drops:
             parents.append(container)
             digests.append(0)
@@ -194,9 +195,8 @@ def _parse(html: str, by_marks: bool) -> tuple[list[tuple[str, int, int]], list[
 
 
 def best(blocks: list) -> list:
-    """The blocks in an article, or else in main, or else all."""
-    region = max((r for _, _, r in blocks), default=0)
-    return [b for b in blocks if b[2] == region]
+    """The blocks in main or an article; all, if there are none."""
+    return [b for b in blocks if b[2]] or blocks
 
 
 def with_text(blocks: list, parents: list[int]) -> set[int]:
@@ -209,24 +209,25 @@ def with_text(blocks: list, parents: list[int]) -> set[int]:
     return out
 
 
-def extract(html: str, template: frozenset[int] = frozenset()) -> str:
-    """The blocks of the page's article joined by line feeds, without those in elements whose digest is template."""
-    blocks, digests, parents = parse(html)
-    gone: dict[int, bool] = {-1: False}
-
-    def is_gone(container: int) -> bool:
+def paths(blocks: list, digests: list[int], parents: list[int]) -> list[tuple[str, list[int]]]:
+    """Each block with the digests of the elements that it stands in, as signed numbers."""
+    out = []
+    for line, container, _ in blocks:
         path = []
-        while container not in gone:
-            path.append(container)
+        while container >= 0:
+            path.append(digests[container] - (1 << 63))
             container = parents[container]
-        for c in reversed(path):
-            gone[c] = gone[parents[c]] or digests[c] in template
-        return gone[path[0]] if path else gone[container]
-
-    found = best(blocks)
-    own = [line for line, container, _ in found if not (template and is_gone(container))]
-    if sum(map(len, own)) < OWN * sum(len(line) for line, _, _ in found):
-        own = [line for line, _, _ in found]
+        out.append((line, path))
+    return out
+
+
+def extract(html: str, template: frozenset[int] = frozenset()) -> str:
+    """The blocks of the page's article joined by line feeds, without those in elements whose digest is template (see extracted)."""
+    blocks, digests, parents = parse(html)
+    found = paths(best(blocks), digests, parents)
+    own = [line for line, path in found if template.isdisjoint(path)]
+    if sum(map(len, own)) < OWN * sum(len(line) for line, _ in found):
+        own = [line for line, _ in found]
     return "\n".join(own)
 
 
@@ -235,29 +236,43 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, recurs: int = RECURS, share: float = SHARE) -> DataFrame:
-    """host, html -> host, template: digests that recur on `recurs` and a `share` of the distinct pages of their host.
-
-    Elements anywhere on the page that hold text are counted, single paragraphs too. Pages with equal articles
-    count once, whatever stands around them. Counts are aggregated in part before they are shuffled, so a host
-    with most of the pages is no burden to one task; a host has at most 1 / share times a page's elements.
-    """
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, url, html -> page_id, url, host, content (a hash of the article), digests (of all elements with text), blocks (line, path)."""
     from xxhash import xxh64_intdigest
 
-    schema = pa.schema([("host", pa.string()), ("content", pa.int64()), ("digest", pa.int64())])
+    keyed = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"))
+    block = pa.struct([("line", pa.string()), ("path", pa.list_(pa.int64()))])
+    types = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(block)]
+    names = ["page_id", "url", "host", "content", "digests", "blocks"]
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "html"):
                 rows = []
-                for h, html in zip(*(c.to_pylist() for c in part.columns)):
+                for html in part.column(2).to_pylist():
                     blocks, digests, parents = parse(html or "")
-                    content = xxh64_intdigest("\n".join(line for line, _, _ in best(blocks))) - (1 << 63)
-                    # null stands for the page itself
-                    rows += [(h, content, None), *((h, content, d) for d in {digests[c] - (1 << 63) for c in with_text(blocks, parents)})]
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 3, schema)], schema=schema)
+                    found = best(blocks)
+                    content = xxh64_intdigest("\n".join(line for line, _, _ in found)) - (1 << 63)
+                    own = sorted({digests[c] - (1 << 63) for c in with_text(blocks, parents)})
+                    rows.append((content, own, [{"line": line, "path": path} for line, path in paths(found, digests, parents)]))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), types[1:])]
+                yield pa.record_batch([part.column(0), part.column(1), part.column(3), *columns], names=names)
 
-    seen = pages.select("host", "html").mapInArrow(lean(run), "host string, content long, digest long").distinct()
+    fields = keyed.select("page_id", "url", "host").schema
+    for name, kind in (("content", "long"), ("digests", "array<long>"), ("blocks", "array<struct<line:string,path:array<long>>>")):
+        fields = fields.add(name, kind)
+    return keyed.mapInArrow(lean(run), fields)
+
+
+def templates(pages: DataFrame, recurs: int = RECURS, share: float = SHARE) -> DataFrame:
+    """Parsed pages -> host, template: digests that recur on `recurs` and a `share` of the distinct pages of their host.
+
+    Elements anywhere on the page that hold text are counted, single paragraphs too. Pages with equal articles
+    count once, whatever stands around them. Counts are aggregated in part before they are shuffled, so a host
+    with most of the pages is no burden to one task; a host has at most 1 / share times a page's elements.
+    """
+    # null stands for the page itself
+    seen = pages.select("host", "content", F.explode(F.concat(F.array(F.lit(None).cast("long")), "digests")).alias("digest")).distinct()
     counts = written(seen.groupBy("host", "digest").agg(F.count("*").alias("n")).filter(F.col("n") >= recurs), "html-counts")
     sizes = counts.filter("digest IS NULL").select("host", F.col("n").alias("pages"))
     common = counts.filter("digest IS NOT NULL").join(sizes, "host").filter(F.col("n") >= share * F.col("pages"))
@@ -265,20 +280,23 @@ def templates(pages: DataFrame, recurs: int = RECURS, share: float = SHARE) -> D
 
 
 def extracted(pages: DataFrame, recurs: int = RECURS) -> DataFrame:
-    """page_id, url, html -> page_id, url, text. Null html is empty; repeated rows are kept."""
-    keyed = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    # a host's pages are dealt over SALTS keys, each with a copy of its templates
-    salted = templates(keyed, recurs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = keyed.withColumn("salt", F.pmod(F.xxhash64("url", "html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "template")
-    fields = rows.select("page_id", "url").schema
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "html"):
-                texts = [extract(h or "", frozenset(d + (1 << 63) for d in t or ())) for h, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+    """page_id, url, html -> page_id, url, text; other columns, whatever their names, are left out.
 
-    return rows.mapInArrow(lean(run), fields.add("text", "string"))
+    Null html is empty, as is the text of a page without any; whole pages are parsed however long, and malformed or cut
+    off markup is read as a browser would. Repeated rows are kept and count as one page for templates. A null or odd
+    url has the empty host. A page of which template would leave less than a share OWN stays whole.
+    """
+    whole = written(parsed(pages), "html-parsed")
+    # written, so that Spark sees its size and moves no page to meet it if it is small; if it isn't, a host's pages
+    # are dealt over SALTS keys, each with a copy of its templates
+    found = written(templates(whole, recurs), "html-templates")
+    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = whole.withColumn("salt", F.pmod(F.xxhash64("url", "content"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    chars = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
+    every = F.transform("blocks", lambda b: b["line"])
+    own = F.transform(F.filter("blocks", lambda b: ~F.arrays_overlap(b["path"], "template")), lambda b: b["line"])
+    kept = F.when(F.col("template").isNull(), every).when(chars(own) < OWN * chars(every), every).otherwise(own)
+    return rows.select("page_id", "url", F.array_join(kept, "\n").alias("text"))
 
 
 @query("op8_html_extract")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, lengths, read, slices, values, written
-from .components import components
+from .components import components, meet
 from .registry import query
 
 #: Fingerprints of a tile, and rows that a task links at a time.
@@ -207,15 +207,15 @@ def near_groups(marked: DataFrame, bits: int = 3) -> DataFrame:
     Repeated rows are kept. A column named node is overwritten and goes.
     """
     spark = marked.sparkSession
-    known = written(marked.groupBy("f0").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.col("f0")), "simhash-fps")
+    known = written(marked.groupBy("f0").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).withColumn("node", F.col("f0")), "simhash-fps")
     n = known.count()
     tables = exact_tables(bits, n)
     parts = _parts(spark, n * len(tables))
     forest = components(written(links(buckets(known, tables), 1, bits, parts), "simhash-links").distinct(), "simhash-components")
-    rooted = known.select("node", "doc_id").join(forest, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = written(rooted.join(least, "root").select("node", "component_id"), "simhash-named")
-    return marked.withColumn("node", F.col("f0")).join(named, "node").drop("node")
+    rooted = written(known.select("node", "doc_id", "n").join(forest, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"), F.col("n").alias("rows")), "simhash-rooted")
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    named = written(meet(rooted, least, "root", n).select("node", "component_id", F.col("rows").alias("n")), "simhash-named")
+    return meet(marked.withColumn("node", F.col("f0")), named, "node", marked.count()).drop("node")
 
 
 def _parts(spark, rows: int) -> int:
@@ -394,10 +394,10 @@ def near_deduplicated(documents: DataFrame) -> DataFrame:
     # every node of a group of two or more, its group's root too, with the tiles that the group is cut into
     members = coarse.unionByName(coarse.select(F.col("root").alias("node"), "root")).distinct().join(known.select("node", "doc_id", "__text", "bytes"), "node")
     members = written(members, "simhash-members")
-    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / GROUP_TEXTS, F.sum("bytes") / GROUP_BYTES)).cast("int").alias("tiles"))
+    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / GROUP_TEXTS, F.sum("bytes") / GROUP_BYTES)).cast("int").alias("tiles"), F.count("*").alias("n"))
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     both = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda u: F.xxhash64("root", F.least(tile, u), F.greatest(tile, u)))
-    dealt = members.join(sizes, "root").select("node", _row("doc_id", "__text").alias("__row"), F.explode(F.when(F.col("tiles") <= 1, F.array("root")).otherwise(both)).alias("group"))
+    dealt = meet(members, sizes, "root", members.count()).select("node", _row("doc_id", "__text").alias("__row"), F.explode(F.when(F.col("tiles") <= 1, F.array("root")).otherwise(both)).alias("group"))
     texts = hashed.select(_row("doc_id", "__text").alias("__row"), F.col("text").cast("string").alias("text")).join(dealt, "__row")
     forest = components(written(refined(texts, parts), "simhash-alike").distinct(), "simhash-components")
     rooted = marked.select("node", "doc_id", "__text").join(forest, "node", "left").withColumn("root", F.coalesce("root", "node"))
