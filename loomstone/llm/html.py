@@ -15,6 +15,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import lean, read, slices, written
 from .registry import query
@@ -260,7 +261,7 @@ def parsed(pages: DataFrame) -> DataFrame:
 
     fields = keyed.select("page_id", "url", "host").schema
     for name, kind in (("content", "long"), ("digests", "array<long>"), ("blocks", "array<struct<line:string,path:array<long>>>")):
-        fields = fields.add(name, kind)
+        fields = fields.add(name, T._parse_datatype_string(kind))
     return keyed.mapInArrow(lean(run), fields)
 
 
