@@ -210,25 +210,23 @@ def with_text(blocks: list, parents: list[int]) -> set[int]:
     return out
 
 
-def paths(blocks: list, digests: list[int], parents: list[int]) -> list[tuple[str, list[int]]]:
-    """Each block with the digests of the elements that it stands in, as signed numbers."""
-    out = []
-    for line, container, _ in blocks:
-        path = []
-        while container >= 0:
-            path.append(digests[container] - (1 << 63))
-            container = parents[container]
-        out.append((line, path))
-    return out
+def spans(digests: list[int], parents: list[int], wanted: set[int]) -> list[dict]:
+    """The wanted elements as spans: digest (signed), first, last. Elements are numbered in page order, so one holds all from itself to its last."""
+    last = list(range(len(parents)))
+    for c in range(len(parents) - 1, -1, -1):
+        if parents[c] >= 0:
+            last[parents[c]] = max(last[parents[c]], last[c])
+    return [{"digest": digests[c] - (1 << 63), "first": c, "last": last[c]} for c in sorted(wanted)]
 
 
 def extract(html: str, template: frozenset[int] = frozenset()) -> str:
-    """The blocks of the page's article joined by line feeds, without those in elements whose digest is template (see extracted)."""
+    """The blocks of the page's article joined by line feeds, without those in elements whose digest (signed) is template: one page by itself."""
     blocks, digests, parents = parse(html)
-    found = paths(best(blocks), digests, parents)
-    own = [line for line, path in found if template.isdisjoint(path)]
-    if sum(map(len, own)) < OWN * sum(len(line) for line, _ in found):
-        own = [line for line, _ in found]
+    found = best(blocks)
+    cuts = [e for e in spans(digests, parents, with_text(blocks, parents)) if e["digest"] in template]
+    own = [line for line, c, _ in found if not any(e["first"] <= c <= e["last"] for e in cuts)]
+    if sum(map(len, own)) < OWN * sum(len(line) for line, _, _ in found):
+        own = [line for line, _, _ in found]
     return "\n".join(own)
 
 
@@ -238,13 +236,13 @@ def host(url: Column) -> Column:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, html -> page_id, url, host, content (a hash of the article), digests (of all elements with text), blocks (line, path)."""
+    """page_id, url, html -> page_id, url, host, content (a hash of the article), elements (those with text: digest, first, last), blocks (line, element)."""
     from xxhash import xxh64_intdigest
 
     keyed = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"))
-    block = pa.struct([("line", pa.string()), ("path", pa.list_(pa.int64()))])
-    types = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(block)]
-    names = ["page_id", "url", "host", "content", "digests", "blocks"]
+    span = pa.struct([("digest", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+    types = [pa.int64(), pa.list_(span), pa.list_(pa.struct([("line", pa.string()), ("element", pa.int32())]))]
+    names = ["page_id", "url", "host", "content", "elements", "blocks"]
 
     def run(batches):
         for batch in batches:
@@ -254,13 +252,12 @@ def parsed(pages: DataFrame) -> DataFrame:
                     blocks, digests, parents = parse(html or "")
                     found = best(blocks)
                     content = xxh64_intdigest("\n".join(line for line, _, _ in found)) - (1 << 63)
-                    own = sorted({digests[c] - (1 << 63) for c in with_text(blocks, parents)})
-                    rows.append((content, own, [{"line": line, "path": path} for line, path in paths(found, digests, parents)]))
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows), types[1:])]
+                    rows.append((content, spans(digests, parents, with_text(blocks, parents)), [{"line": line, "element": c} for line, c, _ in found]))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
                 yield pa.record_batch([part.column(0), part.column(1), part.column(3), *columns], names=names)
 
     fields = keyed.select("page_id", "url", "host").schema
-    for name, kind in (("content", "long"), ("digests", "array<long>"), ("blocks", "array<struct<line:string,path:array<long>>>")):
+    for name, kind in (("content", "long"), ("elements", "array<struct<digest:long,first:int,last:int>>"), ("blocks", "array<struct<line:string,element:int>>")):
         fields = fields.add(name, T._parse_datatype_string(kind))
     return keyed.mapInArrow(lean(run), fields)
 
@@ -273,7 +270,7 @@ def templates(pages: DataFrame, recurs: int = RECURS, share: float = SHARE) -> D
     with most of the pages is no burden to one task; a host has at most 1 / share times a page's elements.
     """
     # null stands for the page itself
-    seen = pages.select("host", "content", F.explode(F.concat(F.array(F.lit(None).cast("long")), "digests")).alias("digest")).distinct()
+    seen = pages.select("host", "content", F.explode(F.concat(F.array(F.lit(None).cast("long")), F.array_distinct("elements.digest"))).alias("digest")).distinct()
     counts = written(seen.groupBy("host", "digest").agg(F.count("*").alias("n")).filter(F.col("n") >= recurs), "html-counts")
     sizes = counts.filter("digest IS NULL").select("host", F.col("n").alias("pages"))
     common = counts.filter("digest IS NOT NULL").join(sizes, "host").filter(F.col("n") >= share * F.col("pages"))
@@ -295,8 +292,10 @@ def extracted(pages: DataFrame, recurs: int = RECURS) -> DataFrame:
     rows = whole.withColumn("salt", F.pmod(F.xxhash64("url", "content"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
     chars = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
     every = F.transform("blocks", lambda b: b["line"])
-    own = F.transform(F.filter("blocks", lambda b: ~F.arrays_overlap(b["path"], "template")), lambda b: b["line"])
-    kept = F.when(F.col("template").isNull(), every).when(chars(own) < OWN * chars(every), every).otherwise(own)
+    cuts = F.filter("elements", lambda e: F.array_contains("template", e["digest"]))
+    rows = rows.withColumn("cuts", F.when(F.col("template").isNotNull(), cuts))
+    own = F.transform(F.filter("blocks", lambda b: ~F.exists("cuts", lambda e: b["element"].between(e["first"], e["last"]))), lambda b: b["line"])
+    kept = F.when(F.coalesce(F.size("cuts"), F.lit(0)) <= 0, every).when(chars(own) < OWN * chars(every), every).otherwise(own)
     return rows.select("page_id", "url", F.array_join(kept, "\n").alias("text"))
 
 
