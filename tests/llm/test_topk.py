@@ -47,9 +47,37 @@ def test_rows_that_take_no_part(spark):
     assert topk.top_k(own.filter("false"), own, 10, 1.0).isEmpty() and topk.top_k(own.filter("false"), own.filter("false"), 10, 1.0).isEmpty()
 
 
-def test_large_components():
-    a = np.array([[1 << 40, 3]])
-    assert topk.products(a, a).tolist() == [[9]]  # 2 ** 80 wraps around to 0
+def test_large_components(spark):
+    """Scores up to 64 bits are exact, sums that run over on the way too; beyond them there is an error, not an answer."""
+    a, b = np.array([[1 << 31, 1 << 31, 3]]), np.array([[1 << 31, -(1 << 31), 5], [(1 << 31) - 1, 7, 1]])
+    assert topk.products(b, a).tolist() == [[15, (1 << 31) * ((1 << 31) + 6) + 3]]
+    with pytest.raises(OverflowError):
+        topk.products(np.array([[1 << 40, 3]]), np.array([[1 << 40, 3]]))
+    with pytest.raises(OverflowError):
+        topk.matrix(spark.createDataFrame([([1e17],)], "v array<double>").toArrow().column(0).combine_chunks(), 1, 1024.0)
+
+    def found(*vectors):
+        rows = topk.usable(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>"), "vec_id", "embedding")
+        return topk.top_k(rows.filter("id = 0"), rows, 2, 1024.0).collect()
+
+    large = [[1e6 * x] * 4 for x in (1, 2, 1e-6, -1)]
+    ints = [(i, np.floor(1024 * np.array(v)).astype(object)) for i, v in enumerate(large)]
+    assert [tuple(x) for x in found(*large)] == brute(ints, ints[:1], 2)
+    with pytest.raises(Exception, match="64 bits"):
+        found(*[[1e8 * x] * 4 for x in (1, 2, 1e-8, -1)])
+
+
+def test_jobs_do_not_grow_with_queries(spark, monkeypatch):
+    """As many passes for a block of queries as for many blocks."""
+    passes = []
+    counts = topk._counts
+    monkeypatch.setattr(topk, "_counts", lambda width: passes.append(width) or counts(width))
+    r = np.random.default_rng(0)
+    rows = topk.usable(spark.createDataFrame([(i, r.normal(size=4).tolist()) for i in range(400)], "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    for block in (400, 8):
+        monkeypatch.setattr(topk, "BLOCK", block)
+        passes.clear()
+        assert topk.top_k(rows, rows, 3, 1024.0).count() == 1200 and len(passes) <= 3
 
 
 def test_query(spark, duck, sf_dir):
