@@ -12,6 +12,8 @@ from .words import U
 
 #: Bits a key, slices of a filter, and most bits: 32 MB, whatever the number of keys.
 BITS, SLICES, MOST = 12, 64, 1 << 28
+#: Keys that a filter tells apart from others; of more, it lets all pass.
+KEYS = MOST // BITS
 
 
 # XXH64 of a 64-bit number with seed 42, which is Spark's xxhash64.

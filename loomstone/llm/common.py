@@ -11,6 +11,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Java and Python patterns of a word: what stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -75,6 +76,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Keys with over a KEYS-th of all rows, and over LEAST rows, are met by a broadcast: there are fewer than KEYS of them.
+KEYS, LEAST = 8192, 256
+
+
+def meet(many: DataFrame, one: DataFrame, key: str | list[str], total: int) -> DataFrame:
+    """The rows of `many` joined to `one`, which has each key once, with n, at least as many as there are rows of the key in `many`; total: the sum of n.
+
+    Rows of frequent keys stay where they are and meet a table of fewer than KEYS rows; the others are shuffled.
+    """
+    bound = max(LEAST, total // KEYS)
+    hot = one.filter(F.col("n") > bound).drop("n")
+    cold = one.filter(F.col("n") <= bound).drop("n")
+    rest = many.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return many.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+
+
 def lean(run):
     """For functions of mapInArrow: what is unused at the end of a task goes back to the system.
 

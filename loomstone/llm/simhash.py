@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, lengths, read, slices, values, written
-from .components import components, meet
+from .common import lean, lengths, meet, read, slices, values, written
+from .components import components
 from .registry import query
 
 #: Fingerprints of a tile, and rows that a task links at a time.

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import WORD, lean, lengths, read, slices, written
+from .common import WORD, lean, meet, read, slices, written
 from .registry import query
 from .words import U, Words, mixed, spans_hash
 
@@ -135,7 +135,7 @@ def contexts(words: Words, size: int, gram: int = GRAM):
 
 
 def _anchors(rows: DataFrame, size: int) -> DataFrame:
-    """anchor, low, high: the anchors that stand in documents of two ids or more, with the smallest and largest."""
+    """anchor, n: the anchors that stand in documents of two ids or more, with the number of their contexts."""
     schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64())])
 
     def run(batches):
@@ -146,12 +146,16 @@ def _anchors(rows: DataFrame, size: int) -> DataFrame:
                 yield pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(doc)], schema=schema)
 
     found = rows.mapInArrow(lean(run), "anchor long, doc_id long")
-    return found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor")
+    return found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).filter("low < high").select("anchor", "n")
 
 
-def _segments(rows: DataFrame, size: int, wanted: np.ndarray, with_text: bool) -> DataFrame:
-    """The contexts of wanted anchors: anchor, cid (a hash of the words) and either key, start, n, or the words."""
-    held = rows.sparkSession.sparkContext.broadcast(wanted)
+def _segments(rows: DataFrame, size: int, wanted: DataFrame, with_text: bool) -> DataFrame:
+    """The contexts of wanted anchors, and a few others: anchor, cid (a hash of the words) and either key, start, n, or the words.
+
+    With more anchors than a filter of bounded size tells apart, the contexts of all.
+    """
+    n = wanted.count()
+    held = rows.sparkSession.sparkContext.broadcast(bloom.build(wanted, "anchor", n) if n <= bloom.KEYS else None)
     fields = "anchor long, cid long, " + ("words binary" if with_text else "doc_id long, code long, start int, n int")
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     schema = pa.schema([(n, kinds[t]) for n, t in (f.split() for f in fields.split(", "))])
@@ -161,12 +165,13 @@ def _segments(rows: DataFrame, size: int, wanted: np.ndarray, with_text: bool) -
             for part in slices(batch, "text"):
                 words = Words(part.column(1))
                 anchor, row, start, n = contexts(words, size)
-                keep = bloom.holds(held.value, anchor)
-                anchor, row, start, n = anchor[keep], row[keep], start[keep], n[keep]
+                if held.value is not None:
+                    keep = bloom.holds(held.value, anchor)
+                    anchor, row, start, n = anchor[keep], row[keep], start[keep], n[keep]
                 first = words.first[row] + start
                 cid = spans_hash(words.hash, first, first + n + size - 1).view(np.int64)
                 if with_text:
-                    _, once = np.unique(anchor.view(np.int64) ^ cid, return_index=True)
+                    _, once = np.unique(np.stack([anchor.view(np.int64), cid]), axis=1, return_index=True)
                     texts = [words.joined(a, b) for a, b in zip(first[once].tolist(), (first + n + size - 1)[once].tolist())]
                     yield pa.record_batch([pa.array(anchor[once].view(np.int64)), pa.array(cid[once]), pa.array(texts, pa.binary())], schema=schema)
                 else:
@@ -213,9 +218,9 @@ def _one_by_one(refs: DataFrame, size: int) -> DataFrame:
                 out += [(anchor, cid, low, i, b" ".join(words[i : i + size])) for i in range(len(words) - size + 1)]
             yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * 5, schema)], schema=schema)
 
-    each = refs.select("anchor", "cid", "low", "words").mapInArrow(lean(run), "anchor long, cid long, low long, i int, window binary")
-    owners = each.groupBy("window").agg(F.min("low").alias("owner"))
-    listed = each.join(owners, "window").groupBy("anchor", "cid").agg(F.sort_array(F.collect_list(F.struct("i", "owner"))).alias("o"))
+    each = written(refs.select("anchor", "cid", "low", "words").mapInArrow(lean(run), "anchor long, cid long, low long, i int, window binary"), "substring-windows")
+    owners = written(each.groupBy("window").agg(F.min("low").alias("owner"), F.count("*").alias("n")), "substring-firsts")
+    listed = meet(each, owners, "window", each.count()).groupBy("anchor", "cid").agg(F.sort_array(F.collect_list(F.struct("i", "owner"))).alias("o"))
     return listed.select("anchor", "cid", F.col("o.owner").alias("owners"))
 
 
@@ -228,23 +233,27 @@ def repeated_windows(documents: DataFrame, size: int) -> DataFrame:
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("code")).filter(F.col("doc_id").isNotNull())
     shared = written(_anchors(rows, size), "substring-anchors")
-    segments = written(_segments(rows, size, bloom.build(shared, "anchor", shared.count()), False), "substring-segments")
-    found = segments.groupBy("anchor", "cid").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    segments = _segments(rows, size, shared, False)
+    if shared.count() > bloom.KEYS:
+        segments = meet(written(segments, "substring-all"), shared, "anchor", shared.agg(F.sum("n")).first()[0])
+    segments = written(segments, "substring-segments")
+    found = segments.groupBy("anchor", "cid").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
     found = written(found, "substring-contexts")
     several = written(found.groupBy("anchor").agg(F.count("*").alias("contexts")).filter("contexts > 1"), "substring-several")
-    n = several.count()
-    owned = None
-    if n:
+    if not several.isEmpty():
         # the words of the contexts of those anchors alone; a context's smallest document comes from above
-        texts = _segments(rows, size, bloom.build(several, "anchor", n), True).distinct()
-        refs = written(texts.join(several, "anchor").join(found.select("anchor", "cid", "low"), ["anchor", "cid"]), "substring-references")
+        wanted = meet(found.select("anchor", "cid", "low"), several.withColumn("n", F.col("contexts")), "anchor", found.count())
+        refs = written(_segments(rows, size, several, True).distinct().join(wanted, ["anchor", "cid"]), "substring-references")
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), refs.count() // 100_000)
-        owned = _shards(refs.filter(F.col("contexts") <= CONTEXTS), size, parts).unionByName(_one_by_one(refs.filter(F.col("contexts") > CONTEXTS), size))
+        owned = _shards(refs.filter(F.col("contexts") <= CONTEXTS), size, parts)
+        many = refs.filter(F.col("contexts") > CONTEXTS)
+        if not many.isEmpty():
+            owned = owned.unionByName(_one_by_one(many, size))
         found = found.join(owned, ["anchor", "cid"], "left")
     else:
         found = found.withColumn("owners", F.lit(None).cast("array<long>"))
     found = written(found.filter("high > low or exists(owners, x -> x < high)").drop("high"), "substring-owners")
-    hits = segments.join(found, ["anchor", "cid"]).filter("doc_id > low or owners is not null")
+    hits = meet(segments, found, ["anchor", "cid"], segments.count()).filter("doc_id > low or owners is not null")
     each = F.when(F.col("owners").isNull(), F.array(F.struct(F.col("start").alias("start"), F.col("n").alias("n")))).otherwise(
         F.transform(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("owners", i) < F.col("doc_id")), lambda i: F.struct((F.col("start") + i).alias("start"), F.lit(1).alias("n")))
     )

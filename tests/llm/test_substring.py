@@ -63,6 +63,19 @@ def test_shared_passages(spark):
     assert got(spark, rows, 13) == brute(rows, 13)
 
 
+def test_more_keys_than_a_filter_tells_apart(spark, monkeypatch):
+    """Joins instead of filters, frequent keys by broadcast: the same result."""
+    from loomstone.llm import bloom, common
+
+    monkeypatch.setattr(bloom, "KEYS", 3)
+    monkeypatch.setattr(common, "LEAST", 4)
+    monkeypatch.setattr(common, "KEYS", 16)
+    monkeypatch.setattr(substring, "CONTEXTS", 6)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, f"{' '.join(f'u{i}x{j}' for j in range(i % 9))} {passage} {' '.join(f'v{i % 4}x{j}' for j in range(20))}") for i in range(60)]
+    assert got(spark, rows, 13) == brute(rows, 13)
+
+
 def test_query(spark, duck, sf_dir):
     from loomstone.llm.queries import ORACLES, QUERIES
 
