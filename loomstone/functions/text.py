@@ -44,6 +44,17 @@ def entries_text(entries: Column, hide_single: bool = True) -> Column:
     return F.coalesce(F.when(entries.isNull(), F.lit("")), single, pairs)
 
 
+def milliseconds_text(value: Column) -> Column:
+    """Milliseconds as 2h0m3.5s, 4m0s, 1.25s, 70ms or 0s: from a second on in hours, minutes and seconds without zeros at the end. Negative ones are 0s."""
+    ms = F.greatest(value.cast("long"), F.lit(0).cast("long"))
+    hours, minutes, rest = F.floor(ms / 3_600_000), F.floor(ms / 60_000) % 60, ms % 60_000
+    seconds = F.concat(F.regexp_replace(F.format_string("%d.%03d", F.floor(rest / 1000), rest % 1000), r"\.?0+$", ""), F.lit("s"))
+    # a number of whole tens keeps its zeros: only what follows the point is cut
+    seconds = F.when(rest % 1000 == 0, F.concat(F.floor(rest / 1000).cast("string"), F.lit("s"))).otherwise(seconds)
+    long_ = F.concat(F.when(hours > 0, F.concat(hours.cast("string"), F.lit("h"))).otherwise(""), F.when(ms >= 60_000, F.concat(minutes.cast("string"), F.lit("m"))).otherwise(""), seconds)
+    return F.when(ms == 0, "0s").when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).otherwise(long_)
+
+
 def durations_text(durations: Column) -> Column:
-    """A map stage -> ms as "a=12,b=3" by stage."""
-    return F.coalesce(F.array_join(F.transform(F.array_sort(F.map_entries(durations)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ","), F.lit(""))
+    """A map stage -> ms as "a=1.5s,b=70ms" by stage."""
+    return F.coalesce(F.array_join(F.transform(F.array_sort(F.map_entries(durations)), lambda e: F.concat(e["key"], F.lit("="), milliseconds_text(e["value"]))), ","), F.lit(""))

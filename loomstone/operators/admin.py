@@ -110,10 +110,9 @@ class Admin:
         back = [r["part_id"] for r in plan if r["action"] == "reset"]
         gone = [r["part_id"] for r in plan if r["action"] == "delete"]
         now, target = timestamp(), "COMPACT_READY" if compaction else "READY"
-        changed = [state.transition(r, "reset", now, status=target) | {"version": r["version"]} for r in self.log.get(job, back)]
-        self.log.commit(changed)
-        if gone:
-            self.log.delete(job, gone)
+        held = {r["part_id"]: r for r in self.log.get(job, back + gone)}
+        changed = [state.transition(held[p], "reset", now, status=target) | {"version": held[p]["version"]} for p in back]
+        self.log.commit([*changed, *(held[p] | {"deleted": True} for p in gone)])
         return {"reset": back, "deleted": gone, "prefixes": prefixes}
 
     def delete_parts(self, job: str, all_parts: bool = False, parts: list[str] = (), from_status: str | None = None, force: bool = False) -> list[str]:

@@ -253,18 +253,21 @@ def replaced(rows: DataFrame, spec: TableSpec) -> DataFrame:
 def joined(spark, inputs: list[str], output: str, spec: TableSpec, target_bytes: int = 150 * GIB) -> dict:
     """Join staged folders into one, file by partition; kept only if there are fewer files then.
 
-    Returns inputs, outputs (files), rows and accepted. A failed or refused try leaves the inputs as they were.
+    Returns inputs, outputs (files), rows and accepted. Files hold so many rows that, at the inputs' bytes a row, none is
+    larger than the target. A failed or refused try leaves the inputs as they were.
     """
-    from .rewrite import read_folders, read_staged, staged
+    from .rewrite import read_folders, staged
 
-    def files(paths: list[str]) -> int:
+    def files(paths: list[str]):
         found = spark.read.schema(spec.schema).option("recursiveFileLookup", "true").parquet(*paths)
-        return found.select(F.col("_metadata.file_path").alias("f")).distinct().count()
+        each = found.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count("*").alias("n"), F.max("_metadata.file_size").alias("bytes"))
+        return each.agg(F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
 
     before = files(inputs)
-    if before < 2:
-        return {"inputs": before, "outputs": before, "rows": 0, "accepted": False}
+    if before["files"] < 2:
+        return {"inputs": before["files"], "outputs": before["files"], "rows": 0, "accepted": False}
     whole = replaced(read_folders(spark, inputs, spec).select(*spec.schema.names), spec)
-    staged(whole, spec, output, allow_empty=True)
+    most = max(1, before["rows"] * target_bytes // max(1, before["bytes"])) if before["bytes"] > target_bytes else 0
+    staged(whole, spec, output, allow_empty=True, rows_per_file=most)
     after = files([output])
-    return {"inputs": before, "outputs": after, "rows": read_staged(spark, output, spec).count(), "accepted": after < before}
+    return {"inputs": before["files"], "outputs": after["files"], "rows": after["rows"], "accepted": after["files"] < before["files"]}

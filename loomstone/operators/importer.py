@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import ids
 from loomstone.plans.ddl import TableSpec
+from loomstone.sources import store
 
 from .parts import duplicate_names, registry
 from .rewrite import PARTITION, read_folders, read_staged
 from .state import StateLog, new_row, timestamp
 
 
+#: What a part's folder in a table is named by.
+FOLDER = "import="
+
+
 class NotEmpty(ValueError):
     """The final table has rows already."""
 
@@ -43,25 +48,40 @@ def submit(log: StateLog, found: DataFrame, spec: TableSpec) -> int:
     return len(rows)
 
 
+class ImportFailed(RuntimeError):
+    """A part couldn't be attached; those before it are, those after it wait."""
+
+
 def import_finished(log: StateLog, job: str, spec: TableSpec, root: str, table: str, require_empty: bool = True) -> int:
-    """Append all FINISHED parts of a job to the table's folder in one write; returns how many.
+    """Attach the FINISHED parts of a job to the table's folder, one after another by key; returns how many.
 
-    One commit instead of one a part: parts are IMPORTING before it and IMPORTED after, so a crash between leaves
-    rows that say so.
+    A part is IMPORTING before and IMPORTED after. The first that fails is marked FAILED with its error and ends the
+    import; put back to work it is FINISHED again, and a later run goes on with it. A part has a folder of its own in
+    the table, which attaching again replaces, so a crash at any time leaves no doubles: parts that are found IMPORTING
+    are attached again. With require_empty the table may hold nothing but parts of this job.
     """
     spark = log.spark
-    parts = [r for r in log.get(job) if r["status"] == "FINISHED"]
-    if not parts:
+    rows = log.get(job)
+    waiting = sorted((r for r in rows if r["status"] in ("FINISHED", "IMPORTING")), key=lambda r: r["finished_key"])
+    if not waiting:
         return 0
-    if require_empty and not _empty(spark, table, spec):
-        raise NotEmpty(f"{table} has rows")
-    names = [r["part_id"] for r in parts]
-    log.apply(job, names, "import")
-    paths = [f"{root}/{r['finished_key']}" for r in sorted(parts, key=lambda r: r["finished_key"])]
-    whole = read_folders(spark, paths, spec)
-    whole.write.mode("append").partitionBy(PARTITION).option("compression", spec.codec).parquet(table)
-    log.apply(job, names, "imported")
-    return len(parts)
+    begun = {r["part_id"] for r in rows if r["status"] in ("IMPORTING", "IMPORTED") or (r["importing_at"] or "").strip()}
+    if require_empty:
+        others = [n for n in store.names(spark, table) if n.removeprefix(FOLDER) not in begun and not n.startswith((".", "_SUCCESS"))]
+        if any(not _empty(spark, f"{table}/{n}", spec) for n in others):
+            raise NotEmpty(f"{table} has rows")
+    for r in waiting:
+        part = r["part_id"]
+        if r["status"] == "FINISHED":
+            log.apply(job, [part], "import")
+        try:
+            whole = read_folders(spark, [f"{root}/{r['finished_key']}"], spec)
+            whole.write.mode("overwrite").partitionBy(PARTITION).option("compression", spec.codec).parquet(f"{table}/{FOLDER}{part}")
+        except Exception as e:
+            log.apply(job, [part], "fail", error=str(e)[:1000])
+            raise ImportFailed(f"part {part}: {e}") from e
+        log.apply(job, [part], "imported")
+    return len(waiting)
 
 
 def _empty(spark: SparkSession, table: str, spec: TableSpec) -> bool:

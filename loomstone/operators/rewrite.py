@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -47,9 +48,18 @@ def rewritten(source: DataFrame, select: Callable[[DataFrame], DataFrame] | str,
     return positional(check(out), spec)
 
 
+#: Held while a select reads its source by name, since parts are rewritten side by side.
+_naming = threading.Lock()
+
+
 def _by_view(source: DataFrame, select: str, view: str) -> DataFrame:
-    source.createOrReplaceTempView(view)
-    return source.sparkSession.sql(select)
+    """The select over a view of that name; the plan holds the source itself, so the view needn't stay."""
+    with _naming:
+        source.createOrReplaceTempView(view)
+        try:
+            return source.sparkSession.sql(select)
+        finally:
+            source.sparkSession.catalog.dropTempView(view)
 
 
 def staged(df: DataFrame, spec: TableSpec, path: str, allow_empty: bool = False, rows_per_file: int = 0, cluster: bool = True) -> str:
@@ -76,12 +86,12 @@ def staged(df: DataFrame, spec: TableSpec, path: str, allow_empty: bool = False,
 
 
 def read_staged(spark, path: str, spec: TableSpec, with_partition: bool = False) -> DataFrame:
-    """What staged() wrote, in the destination's columns; an empty folder has no rows."""
+    """What staged() wrote, in the destination's columns; an empty folder has no rows. Folders of several parts above it are no columns."""
     from pyspark.sql import types as T
 
     schema = T.StructType([*spec.schema.fields, T.StructField(PARTITION, T.StringType())])
     df = spark.read.schema(schema).parquet(path)
-    return df if with_partition else df.drop(PARTITION)
+    return df.select(*spec.schema.names, *([PARTITION] if with_partition else []))
 
 
 def read_folders(spark, paths: list[str], spec: TableSpec) -> DataFrame:

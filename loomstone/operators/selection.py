@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.sources.store import written
+
 from .state import STATUSES
 from .status import generated
 
@@ -87,36 +89,37 @@ def lineage_problems(rows: DataFrame) -> DataFrame:
     return out.unionAll(plain).unionAll(unnamed)
 
 
-def lineage_cycles(edges: DataFrame, most: int = 64) -> DataFrame:
-    """job_id, output of the edges (job_id, output, input) that lie on or above a cycle.
+def _peeled(edges: DataFrame, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """job_id, output, depth of the outputs of which a chain of inputs comes to an end, and the edges from which one never does.
 
-    Outputs whose inputs aren't outputs themselves are taken away again and again; what never goes is cyclic.
-    Each round is a join over the edges left, and ends early when none go; generations bound the rounds. A chain
-    of over `most` generations is an error, not an answer.
+    Each round keeps the edges whose input is an output of what was left before: those that begin a chain longer by
+    one. It ends when none goes, however deep the chains. Lineage is cut after every few rounds.
     """
-    left = edges.select("job_id", "output", "input").distinct()
-    n = left.count()
-    for _ in range(most):
-        inner = left.select("job_id", F.col("output").alias("input")).distinct()
-        left = left.join(inner, ["job_id", "input"], "left_semi").select("job_id", "output", "input")
-        # an edge goes when its input makes nothing that is left
+    left = written(edges.select("job_id", "output", "input").distinct(), "lineage")
+    n, depth, found = left.count(), 0, left.select("job_id", "output", F.lit(0).alias("depth")).limit(0)
+    while n:
+        for _ in range(rounds):
+            depth += 1
+            outputs = left.select("job_id", "output").distinct()
+            found = found.unionAll(outputs.withColumn("depth", F.lit(depth)))
+            left = left.join(outputs.withColumnRenamed("output", "input"), ["job_id", "input"], "left_semi").select("job_id", "output", "input")
+        left = written(left, "lineage")
+        found = written(found.groupBy("job_id", "output").agg(F.max("depth").alias("depth")), "lineage-depth")
         before, n = n, left.count()
-        if n == before or not n:
-            return left.select("job_id", "output").distinct()
-    raise ValueError(f"lineage is deeper than {most} generations")
-
-
-def lineage_depth(edges: DataFrame, most: int = 64) -> DataFrame:
-    """job_id, output, depth: generations below each output, by a recursive query that ends at `most`."""
-    edges.select("job_id", "output", "input").createOrReplaceTempView("lineage_edges_")
-    spark = edges.sparkSession
-    return spark.sql(f"""
-        WITH RECURSIVE below(job_id, output, input, depth) AS (
-          SELECT job_id, output, input, 1 FROM lineage_edges_
-          UNION ALL
-          SELECT b.job_id, b.output, e.input, b.depth + 1 FROM below b JOIN lineage_edges_ e ON b.job_id = e.job_id AND b.input = e.output
-          WHERE b.depth < {int(most)})
-        SELECT job_id, output, max(depth) AS depth FROM below GROUP BY job_id, output""")
+        if n == before:
+            break
+    return found, left
+
+
+def lineage_cycles(edges: DataFrame) -> DataFrame:
+    """job_id, output of the edges (job_id, output, input) that lie on or above a cycle."""
+    return _peeled(edges)[1].select("job_id", "output").distinct()
+
+
+def lineage_depth(edges: DataFrame) -> DataFrame:
+    """job_id, output, depth: generations below each output; null on or above a cycle, where there is no end to them."""
+    depths, cyclic = _peeled(edges)
+    return depths.join(cyclic.select("job_id", "output", F.lit(True).alias("endless")).distinct(), ["job_id", "output"], "left").select("job_id", "output", F.when(F.col("endless").isNull(), F.col("depth")).alias("depth"))
 
 
 def reset_blockers(rows: DataFrame, compaction: bool) -> DataFrame:

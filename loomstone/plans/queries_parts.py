@@ -251,9 +251,8 @@ def manifest_round_trip(spark, sf_dir):
         F.struct(F.lit("s").alias("source_schema"), F.lit("d").alias("destination_schema"), F.lit("i").alias("insert_select")).alias("sql"),
         F.struct("bucket", "source_key", "finished_key").alias("s3"), F.lit("2024-01-01T00:00:00Z").cast("timestamp").alias("created_at"),
     )
-    back = manifest.from_text(manifest.to_text(form))
-    bad = manifest.problems(back).select("part_id").unionAll(manifest.mismatches(back, rows))
-    return back.join(bad, "part_id", "left_anti").select("part_id", "job_id", "s3.bucket", "s3.source_key", "version")
+    checked = manifest.checked(manifest.from_text(manifest.to_text(form)), rows)
+    return checked.filter("problem is null and same").select("part_id", "job_id", "s3.bucket", "s3.source_key", "version")
 
 
 @query("manifest_problems", "SELECT * FROM (VALUES ('p2', 'sql.insert_select is missing'), ('p3', 'version isn''t 1')) AS v(part_id, problem)")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomstone.operators.rewrite import PARTITION, by_part, read_staged, rewritten, staged
+from loomstone.sources.store import scratch
 from loomstone.sources.tables import as_tsv, table
 
 from .ddl import TableSpec
@@ -36,11 +35,8 @@ LINES_ORACLE = (
 
 
 def _scratch(spark) -> str:
-    """A folder for a query's own files: the shared one if the session names it."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    import uuid
-
-    return f"{(named or 'file://' + tempfile.mkdtemp(prefix='loomstone-')).rstrip('/')}/{uuid.uuid4().hex}"
+    """A folder for a query's own files, in the shared folder."""
+    return scratch(spark, "query")
 
 
 def _table(spark, sf_dir, name):

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomstone.functions import ids
+from loomstone.functions.config import settings
 from loomstone.operators import compact, parts
 from loomstone.operators.metrics import StageTimer
 from loomstone.operators.rewrite import PARTITION, read_staged, rewritten, staged
-from loomstone.operators.state import StateLog, claim_next, new_row, timestamp
+from loomstone.operators.state import StateLog, new_row, timestamp
 from loomstone.plans.ddl import TableSpec
 
 ROLES = ("all", "inserter", "compactor")
@@ -33,7 +34,10 @@ def check_role(role: str, compaction: bool) -> str:
 
 @dataclass
 class Worker:
-    """Takes READY parts, then joins COMPACT_READY ones, then makes what can't be joined FINISHED."""
+    """Takes READY parts, `slots` at a time, then joins COMPACT_READY ones, then makes what can't be joined FINISHED.
+
+    Several workers, in one driver or many, may share a log: a part is claimed by a commit that only one can make.
+    """
 
     log: StateLog
     spec: TableSpec
@@ -45,16 +49,20 @@ class Worker:
     window: int = 0
     allow_empty: bool = False
     tries: int = 3
+    slots: int = 4
     options: compact.Options = field(default_factory=compact.Options)
 
     def __post_init__(self):
         check_role(self.role, self.compaction)
 
-    def run(self, most: int = 1000) -> list[str]:
-        """Work until there is none, `most` steps at most; returns what was done."""
-        done = []
-        while len(done) < most and (step := self.step()):
-            done.append(step)
+    def run(self, most: int | None = None) -> list[str]:
+        """Work until there is none, or for `most` steps if that is given; returns what was done."""
+        done: list[str] = []
+        while most is None or len(done) < most:
+            step = self.step()
+            if step is None:
+                break
+            done += step.split("\n")
         return done
 
     def step(self) -> str | None:
@@ -68,51 +76,67 @@ class Worker:
         return None
 
     def rewrite_next(self) -> str | None:
-        row = claim_next(self.log.view()).first()
-        if row is None:
+        """Claim up to `slots` parts in one commit, rewrite them side by side, and tell of all in one commit."""
+        from concurrent.futures import ThreadPoolExecutor
+
+        from loomstone.operators.state import transition
+
+        claimed = self.log.claim(self.name, self.slots, splay)
+        if not claimed:
             return None
-        job, part = row["job_id"], row["part_id"]
-        self.log.apply(job, [part], "claim", worker=self.name)
+        try:
+            with ThreadPoolExecutor(self.slots) as pool:
+                found = list(pool.map(self._rewritten, claimed))
+        except BaseException:  # the worker is told to stop: others may take the parts
+            for r in claimed:
+                self.log.apply(r["job_id"], [r["part_id"]], "release", worker=self.name)
+            raise
+        changed, done = [], []
+        for r, (event, changes) in zip(claimed, found):
+            row = self.log.get(r["job_id"], [r["part_id"]])[0]
+            changed.append(transition(row, event, timestamp(), self.name, **changes) | {"version": row["version"]})
+            done.append(f"{'failed' if event == 'fail' else 'rewrote'} {r['part_id']}")
+        self.log.commit(changed)
+        return "\n".join(done)
+
+    def _rewritten(self, row: dict) -> tuple[str, dict]:
+        """The event that a part's rewrite ends in, and what it changes."""
         timer = StageTimer()
         try:
             timer.start("insert_select")
             spark = self.log.spark
-            source = spark.read.parquet(row["source_key"])
             path = f"{self.root}/{row['finished_key']}"
-            self._write(rewritten(source, self.select, self.spec), path)
+            self._write(rewritten(spark.read.parquet(row["source_key"]), self.select, self.spec), path)
             timer.start("measure_destination_parts")
             measured = measure(spark, path)
             counts = {r["partition_id"]: r["part_count"] for r in measured}
-            self.log.apply(
-                job, [part], "compact_ready", worker=self.name,
-                destination_active_part_count=sum(counts.values()), destination_active_part_rows=sum(r["part_rows"] for r in measured),
-                destination_active_part_bytes=sum(r["part_bytes"] for r in measured), destination_active_partition_counts=counts,
-                rewrite_stage_durations_ms=timer.finish(), written_rows=sum(r["part_rows"] for r in measured),
-            )
-            return f"rewrote {part}"
+            return "compact_ready", {
+                "destination_active_part_count": sum(counts.values()), "destination_active_part_rows": sum(r["part_rows"] for r in measured),
+                "destination_active_part_bytes": sum(r["part_bytes"] for r in measured), "destination_active_partition_counts": counts,
+                "rewrite_stage_durations_ms": timer.finish(), "written_rows": sum(r["part_rows"] for r in measured),
+            }
         except Exception as e:
-            self.log.apply(job, [part], "fail", worker=self.name, error=str(e)[:1000])
-            return f"failed {part}"
-        except BaseException:  # the worker is told to stop: another may take the part
-            self.log.apply(job, [part], "release", worker=self.name)
-            raise
+            return "fail", {"error": diagnosis(e, self.select, self.spec)}
 
     def _write(self, out: DataFrame, path: str) -> None:
-        """Write a part; if its tasks run out of memory, again with smaller tasks."""
-        conf, size = out.sparkSession.conf, 64 << 20
+        """Write a part; if its tasks run out of memory, again with tasks of half the size."""
+        size = 64 << 20
         for k in range(self.tries):
             try:
-                staged(out, self.spec, path, self.allow_empty)
+                if k:
+                    with settings(out.sparkSession, spark__sql__adaptive__advisoryPartitionSizeInBytes=str(max(1 << 20, size >> k))):
+                        staged(out, self.spec, path, self.allow_empty)
+                else:
+                    staged(out, self.spec, path, self.allow_empty)
                 return
             except Exception as e:
                 if k + 1 == self.tries or not out_of_memory(str(e)):
                     raise
-                conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(max(1 << 20, size >> k + 1)))
 
     def compact_next(self) -> str | None:
         """Join the next batch of any job, all or nothing."""
         rows = self.log.view()
-        if not {"COMPACT_READY"} & {r["status"] for r in rows.select("status").distinct().collect()}:
+        if rows.filter("status = 'COMPACT_READY'").isEmpty():
             return None
         plan = compact.batches(rows, self.options).orderBy(*compact.GROUP, "seq").collect()
         for job in dict.fromkeys(r["job_id"] for r in plan):
@@ -139,16 +163,19 @@ class Worker:
         from loomstone.operators.state import transition
 
         now = timestamp()
+        held = self.log.get(job, chosen)
+        # who asked to finish the running compaction wants its output as it is, without further waiting
+        ended = {"status": "FINISHED", "finished_at": now} if any((r["compact_finalize_requested_at"] or "").strip() for r in held) else {"status": "COMPACT_READY"}
         measured = measure(self.log.spark, f"{self.root}/{key}")
         counts = {r["partition_id"]: r["part_count"] for r in measured}
         ready = max((r["compact_ready_at"] or now for r in inputs), default=now)
         made = new_row(
-            job, output, inputs[0]["bucket"], key, key, now, status="COMPACT_READY", compact_generation=generation, compact_input_part_ids=sorted(chosen),
+            job, output, inputs[0]["bucket"], key, key, now, **ended, compact_generation=generation, compact_input_part_ids=sorted(chosen),
             destination_database=self.spec.database, destination_table=self.spec.table, destination_schema=inputs[0]["destination_schema"], compact_ready_at=ready,
             destination_active_part_count=sum(counts.values()), destination_active_part_rows=sum(r["part_rows"] for r in measured),
             destination_active_part_bytes=sum(r["part_bytes"] for r in measured), destination_active_partition_counts=counts,
         )
-        gone = [transition(r, "supersede", now, self.name, superseded_by=output) | {"version": r["version"]} for r in self.log.get(job, chosen)]
+        gone = [transition(r, "supersede", now, self.name, superseded_by=output) | {"version": r["version"]} for r in held]
         self.log.commit([made, *gone])
 
     def finalize(self) -> str | None:
@@ -168,6 +195,12 @@ def measure(spark: SparkSession, path: str) -> list:
     return parts.by_partition(files).orderBy("partition_id").collect()
 
 
+def diagnosis(error: Exception, select, spec: TableSpec, most: int = 1000) -> str:
+    """An error's text with where it was to go and the select, each cut to a length that a row can hold."""
+    told = select if isinstance(select, str) else getattr(select, "__name__", "a function")
+    return f"{str(error)[:most]}\ninto {spec.database}.{spec.table}\nselect: {told[:most]}"
+
+
 def splay(window_ms: int = 250) -> float:
     """A random wait in seconds before a claim, so that workers that start together don't claim together."""
     import random
@@ -200,4 +233,4 @@ def streamed(spark: SparkSession, target: str, spec: TableSpec) -> DataFrame:
     return spark.read.schema(schema).option("recursiveFileLookup", "false").parquet(target).select(*spec.schema.names)
 
 
-__all__ = ["Worker", "check_role", "measure", "out_of_memory", "read_staged", "splay", "stream", "streamed"]
+__all__ = ["Worker", "check_role", "diagnosis", "measure", "out_of_memory", "read_staged", "splay", "stream", "streamed"]

@@ -123,3 +123,112 @@ def test_small_things():
     assert gate() and not gate()
     now[0] = 30
     assert gate() and not Gate(0)()
+
+
+def test_two_workers_never_take_one_part(spark, tmp_path):
+    """Two drivers' logs over one folder: claims that meet are told apart by the commit, and all parts are rewritten once."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from loomstone.operators.state import new_row, timestamp
+
+    path = f"file://{tmp_path}/log"
+    StateLog(spark, path).commit([new_row("j", f"p{i:02d}", "b", "s", "f", timestamp()) for i in range(12)])
+    logs = [StateLog(spark, path, every=4) for _ in range(2)]
+
+    def take(k):
+        taken = []
+        while rows := logs[k].claim(f"w{k}", 2):
+            taken += [r["part_id"] for r in rows]
+        return taken
+
+    with ThreadPoolExecutor(2) as pool:
+        taken = list(pool.map(take, (0, 1)))
+    assert sorted(taken[0] + taken[1]) == [f"p{i:02d}" for i in range(12)]
+    rows = StateLog(spark, path, every=4).get("j")
+    assert all(r["status"] == "IN_PROGRESS" and r["part_id"] in taken[int(r["worker_id"][1])] and r["attempts"] == 1 for r in rows)
+
+
+def test_a_worker_stops_after_the_steps_it_is_given_and_goes_on(spark, tmp_path):
+    path, root = source(spark, tmp_path), f"file://{tmp_path}/work"
+    log = StateLog(spark, f"{root}/state")
+    submit(log, registered(spark, path, "j", "b", "stage", SPEC, "x"), SPEC)
+    worker = Worker(log, SPEC, SELECT, root, slots=1)
+    assert [d.split()[0] for d in worker.run(most=1)] == ["rewrote"]
+    assert [d.split()[0] for d in worker.run()] == ["rewrote", "joined", "finished"]
+
+
+def test_import_stops_at_the_first_error_and_goes_on_later(spark, tmp_path):
+    from loomstone.operators.admin import Admin
+    from loomstone.operators.importer import ImportFailed
+
+    path, root = source(spark, tmp_path), f"file://{tmp_path}/work"
+    log = StateLog(spark, f"{root}/state")
+    submit(log, registered(spark, path, "j", "b", "stage", SPEC, "x"), SPEC)
+    Worker(log, SPEC, SELECT, root, compaction=False).run()
+    rows = log.get("j")
+    assert [r["status"] for r in rows] == ["FINISHED"] * 2
+    last = max(rows, key=lambda r: r["finished_key"])
+    broken = f"{tmp_path}/work/{last['finished_key']}"
+    __import__("os").rename(broken, broken + "-away")
+    with pytest.raises(ImportFailed):
+        import_finished(log, "j", SPEC, root, f"{root}/table")
+    assert sorted(r["status"] for r in log.get("j")) == ["FAILED", "IMPORTED"]
+    __import__("os").rename(broken + "-away", broken)
+    Admin(log).retry("j", all_failed=True)
+    assert import_finished(log, "j", SPEC, root, f"{root}/table") == 1
+    assert read_staged(spark, f"{root}/table", SPEC).count() == 4
+    # found IMPORTING after a crash: attached again, without doubles
+    log.apply("j", [last["part_id"]], "set", status="FINISHED")
+    log.apply("j", [last["part_id"]], "import")
+    assert import_finished(log, "j", SPEC, root, f"{root}/table") == 1 and read_staged(spark, f"{root}/table", SPEC).count() == 4
+
+
+def test_a_request_ends_a_compaction(spark, tmp_path, monkeypatch):
+    """Asked for while parts are joined: the output is FINISHED at once, whatever the window."""
+    path, root = source(spark, tmp_path), f"file://{tmp_path}/work"
+    log = StateLog(spark, f"{root}/state")
+    submit(log, registered(spark, path, "j", "b", "stage", SPEC, "x"), SPEC)
+    join = compact.joined
+
+    def joined(*args, **more):
+        log.apply("j", [r["part_id"] for r in log.get("j") if r["status"] == "COMPACTING"], "request_finalize")
+        return join(*args, **more)
+
+    monkeypatch.setattr(compact, "joined", joined)
+    done = Worker(log, SPEC, SELECT, root, window=10**6).run()
+    assert [d.split()[0] for d in done] == ["rewrote", "rewrote", "joined"]
+    assert sorted(r["status"] for r in log.get("j")) == ["FINISHED", "SUPERSEDED", "SUPERSEDED"]
+
+
+def test_joining_keeps_files_to_the_target(spark, tmp_path):
+    df = rewritten(spark.read.parquet(source(spark, tmp_path)), SELECT, SPEC)
+    one, other = (staged(df.filter(c), SPEC, f"file://{tmp_path}/{n}") for n, c in (("a", "id <= 2"), ("b", "id > 2")))
+    size = spark.read.option("recursiveFileLookup", "true").parquet(one, other).select("_metadata.file_path", "_metadata.file_size").distinct().groupBy().sum("file_size").first()[0]
+    assert compact.joined(spark, [one, other], f"file://{tmp_path}/c", SPEC, target_bytes=size)["outputs"] == 1
+    found = compact.joined(spark, [one, other], f"file://{tmp_path}/d", SPEC, target_bytes=size // 4)
+    assert found["outputs"] == 4 and found["rows"] == 4 and not found["accepted"]
+
+
+def test_why_a_part_failed(spark, tmp_path):
+    path, root = source(spark, tmp_path), f"file://{tmp_path}/work"
+    log = StateLog(spark, f"{root}/state")
+    submit(log, registered(spark, path, "j", "b", "stage", SPEC, "x"), SPEC)
+    Worker(log, SPEC, SELECT.replace("name", "nothing_like_it") + " " * 3000, root, role="inserter").run()
+    errors = [r["error"] for r in log.get("j")]
+    assert all("nothing_like_it" in e and "into db.t" in e and "select: SELECT id" in e and len(e) < 2100 for e in errors)
+
+
+def test_settings_come_back(spark, tmp_path, monkeypatch):
+    from loomstone.streaming import worker
+
+    name, tries = "spark.sql.adaptive.advisoryPartitionSizeInBytes", []
+
+    def full(*args):
+        tries.append(spark.conf.get(name))
+        raise MemoryError("Java heap: OutOfMemoryError")
+
+    monkeypatch.setattr(worker, "staged", full)
+    before = spark.conf.get(name)
+    with pytest.raises(MemoryError):
+        Worker(None, SPEC, SELECT, str(tmp_path))._write(spark.range(1), "x")
+    assert tries[1:] == [str(32 << 20), str(16 << 20)] and spark.conf.get(name) == before
