@@ -24,9 +24,54 @@ class Limits:
             raise ValueError("at least one CPU and some memory are needed")
 
 
-def detected() -> Limits:
-    """This process's CPUs, and the machine's memory."""
-    return Limits(len(os.sched_getaffinity(0)), os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES"))
+def quota_cpus(text: str | None) -> int | None:
+    """CPUs of a quota and a period, as in `150000 100000`: whole ones, at least one; None without a limit (`max`, -1 or no text)."""
+    words = (text or "").split()
+    if not words or words[0] == "max" or words[0].startswith("-"):
+        return None
+    return max(1, int(words[0]) // int(words[1] if len(words) > 1 else 100_000))
+
+
+def cpuset_size(text: str | None) -> int | None:
+    """CPUs of a list such as `0-3,8`; None without one."""
+    if not (text or "").strip():
+        return None
+    found: set[int] = set()
+    for run in text.strip().split(","):
+        first, _, last = run.partition("-")
+        found |= set(range(int(first), int(last or first) + 1))
+    return len(found)
+
+
+def memory_limit(text: str | None) -> int | None:
+    """Bytes of a limit; None for `max` and for the number that stands for none."""
+    word = (text or "").strip()
+    return None if not word or word == "max" or int(word) >= 1 << 62 else int(word)
+
+
+def limits(host_cpus: int, host_memory: int, quota: str | None = None, cpuset: str | None = None, memory: str | None = None) -> Limits:
+    """The least of what the host has and what the texts of a control group allow."""
+    cpus = [c for c in (host_cpus, quota_cpus(quota), cpuset_size(cpuset)) if c]
+    return Limits(min(cpus), min(m for m in (host_memory, memory_limit(memory)) if m))
+
+
+def detected(root: str = "/sys/fs/cgroup") -> Limits:
+    """This process's CPUs and memory: the host's, or what its control group (of either version) leaves it."""
+
+    def read(*names: str) -> str | None:
+        for name in names:
+            try:
+                with open(f"{root}/{name}") as f:
+                    return f.read()
+            except OSError:
+                continue
+        return None
+
+    quota = read("cpu.max")
+    if quota is None and (old := read("cpu/cpu.cfs_quota_us")) is not None:
+        quota = f"{old.strip()} {(read('cpu/cpu.cfs_period_us') or '100000').strip()}"
+    host = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    return limits(len(os.sched_getaffinity(0)), host, quota, read("cpuset.cpus.effective", "cpuset.cpus", "cpuset/cpuset.cpus"), read("memory.max", "memory/memory.limit_in_bytes"))
 
 
 def clamp(value: int, least: int, most: int) -> int:
@@ -89,3 +134,16 @@ def heartbeat(stale: float) -> float:
 
 def wait_until_deadline(idle: float, now: float, deadline: float | None) -> float:
     return idle if deadline is None else max(0.0, min(idle, deadline - now))
+
+
+def retry_threads(threads: int, tries: int) -> list[int]:
+    """Threads of a rewrite's tries: half as many each time memory runs out, down to one."""
+    out = [threads]
+    while len(out) < tries and out[-1] > 1:
+        out.append(out[-1] // 2)
+    return out
+
+
+def retry_wait(attempt: int) -> int:
+    """Seconds before the try after this one: 1, 2, 4, 8, then 10."""
+    return 10 if attempt >= 5 else 1 << max(0, attempt - 1)

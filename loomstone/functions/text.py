@@ -14,7 +14,7 @@ def bytes_text(value: Column) -> Column:
     v = value.cast("double")
     unit = F.least(F.lit(len(BYTE_UNITS) - 1), F.when(v >= 1024, F.floor(F.log2(v) / 10).cast("int")).otherwise(0))
     scaled = v / F.pow(F.lit(1024.0), unit)
-    number = F.when(scaled == F.floor(scaled), F.format_string("%.0f", scaled)).otherwise(F.format_string("%.1f", scaled))
+    number = F.when(scaled == F.floor(scaled), F.format_string("%.0f", scaled)).otherwise(F.format_string("%.1f", F.bround(scaled, 1)))
     return F.when(v < 0, value.cast("string")).otherwise(F.concat(number, F.lit(" "), F.element_at(F.lit(BYTE_UNITS), unit + 1)))
 
 
@@ -45,14 +45,13 @@ def entries_text(entries: Column, hide_single: bool = True) -> Column:
 
 
 def milliseconds_text(value: Column) -> Column:
-    """Milliseconds as 2h0m3.5s, 4m0s, 1.25s, 70ms or 0s: from a second on in hours, minutes and seconds without zeros at the end. Negative ones are 0s."""
+    """Milliseconds as 2h0m3.5s, 4m0s, 1.25s, 70ms or 0s: from a second on in hours, minutes and seconds without zeros at the end. Negative ones are 0s, null stays."""
     ms = F.greatest(value.cast("long"), F.lit(0).cast("long"))
     hours, minutes, rest = F.floor(ms / 3_600_000), F.floor(ms / 60_000) % 60, ms % 60_000
-    seconds = F.concat(F.regexp_replace(F.format_string("%d.%03d", F.floor(rest / 1000), rest % 1000), r"\.?0+$", ""), F.lit("s"))
-    # a number of whole tens keeps its zeros: only what follows the point is cut
-    seconds = F.when(rest % 1000 == 0, F.concat(F.floor(rest / 1000).cast("string"), F.lit("s"))).otherwise(seconds)
+    point = F.when(rest % 1000 == 0, "").otherwise(F.rtrim(F.format_string(".%03d", rest % 1000), F.lit("0")))
+    seconds = F.concat(F.floor(rest / 1000).cast("string"), point, F.lit("s"))
     long_ = F.concat(F.when(hours > 0, F.concat(hours.cast("string"), F.lit("h"))).otherwise(""), F.when(ms >= 60_000, F.concat(minutes.cast("string"), F.lit("m"))).otherwise(""), seconds)
-    return F.when(ms == 0, "0s").when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).otherwise(long_)
+    return F.when(value.isNull(), F.lit(None)).when(ms == 0, "0s").when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).otherwise(long_)
 
 
 def durations_text(durations: Column) -> Column:

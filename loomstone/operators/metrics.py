@@ -38,6 +38,27 @@ def gauges(rows: DataFrame) -> DataFrame:
     return rows.withColumn("role", role).filter("role is not null").groupBy("role", "job_id").agg(F.count("*").alias("n"), F.coalesce(F.sum("destination_active_part_bytes"), F.lit(0)).alias("bytes"))
 
 
+#: What a step from one status to another counts as.
+STEPS = {
+    ("READY", "IN_PROGRESS"): "rewrite_started", ("IN_PROGRESS", "COMPACT_READY"): "rewrite_completed", ("IN_PROGRESS", "FAILED"): "rewrite_failed",
+    ("COMPACT_READY", "COMPACTING"): "compaction_started", ("COMPACTING", "SUPERSEDED"): "compaction_completed", ("COMPACTING", "COMPACT_READY"): "compaction_without_gain",
+    ("COMPACTING", "FAILED"): "compaction_failed", ("IMPORTING", "IMPORTED"): "import_completed", ("IMPORTING", "FAILED"): "import_failed",
+}
+
+
+def events(versions: DataFrame) -> DataFrame:
+    """job_id, event, n, seconds: what the steps between the versions of parts (job_id, part_id, version, status, at) count as, and how long they took.
+
+    A part's versions are put in order within the part; a compaction counts once for each of its inputs.
+    """
+    w = Window.partitionBy("job_id", "part_id").orderBy("version")
+    steps = versions.withColumn("was", F.lag("status").over(w)).withColumn("since", F.lag("at").over(w)).filter("was is not null")
+    kinds = F.create_map(*[F.lit(x) for (a, b), name in STEPS.items() for x in (f"{a}>{b}", name)])
+    found = steps.withColumn("event", kinds[F.concat("was", F.lit(">"), "status")]).filter("event is not null")
+    seconds = F.greatest(F.unix_timestamp("at") - F.unix_timestamp("since"), F.lit(0))
+    return found.groupBy("job_id", "event").agg(F.count("*").alias("n"), F.sum(seconds).alias("seconds"))
+
+
 class StageTimer:
     """How long each stage took: starting one ends the last; a stage that comes again adds up."""
 

@@ -109,3 +109,48 @@ def latest(log: DataFrame, key: str, *order: Column) -> DataFrame:
 
 def is_empty(df: DataFrame) -> bool:
     return df.isEmpty()
+
+
+def merges_running(log: DataFrame, database: str, table: str) -> DataFrame:
+    """n: rows of a log of running merges (database, table) that are of one table."""
+    return log.filter((F.col("database") == database) & (F.col("table") == table)).agg(F.count("*").alias("n"))
+
+
+def merges_failed(log: DataFrame, database: str, table: str) -> DataFrame:
+    """n: rows of a part log (database, table, event_type, error) that tell of a merge of one table that failed."""
+    return merges_running(log.filter("event_type = 'MergeParts' and error <> 0"), database, table)
+
+
+#: What a query's progress consists of.
+PROGRESS = ["read_rows", "read_bytes", "written_rows", "written_bytes"]
+
+
+def progress_of(running: DataFrame, finished: DataFrame, query_id: str) -> DataFrame:
+    """query_id, state and progress of a query: as it runs, else as it ended; state `unknown` if neither knows it."""
+    found = running.filter(F.col("query_id") == query_id).select("query_id", F.lit("running").alias("state"), F.lit(1).alias("rank"), *PROGRESS)
+    ended = finished.filter(F.col("query_id") == query_id).select("query_id", F.lit("finished").alias("state"), F.lit(2).alias("rank"), *PROGRESS)
+    none = running.sparkSession.createDataFrame([(query_id, "unknown", 3, 0, 0, 0, 0)], "query_id string, state string, rank int, " + ", ".join(f"{c} long" for c in PROGRESS))
+    best = F.min_by(F.struct("state", *PROGRESS), "rank")
+    return found.unionAll(ended).unionAll(none).groupBy("query_id").agg(best.alias("r")).select("query_id", "r.*")
+
+
+def names(listed: DataFrame, column: str) -> DataFrame:
+    """The distinct names of a listing, in order."""
+    return listed.select(F.col(column).alias("name")).distinct().orderBy("name")
+
+
+def tables(listed: DataFrame, excluded: list[str]) -> DataFrame:
+    """A listing of tables (database, name) without some databases, in order."""
+    return listed.filter(~F.col("database").isin(excluded)).select("database", "name").orderBy("database", "name")
+
+
+def first_path(listed: DataFrame, column: str) -> DataFrame:
+    """The rows with the first element of an array column, counted from one; null where it is empty."""
+    return listed.withColumn("first", F.try_element_at(column, F.lit(1)))
+
+
+def directory_stats(spark: SparkSession, path: str) -> DataFrame:
+    """files, bytes (from the listing), part_rows, read_bytes (as the files themselves say) of a folder: one row."""
+    listed = registry(spark, path).agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.lit(0).cast("long").alias("part_rows"), F.lit(0).cast("long").alias("read_bytes"))
+    read = file_rows(spark, path).agg(F.lit(0).cast("long").alias("files"), F.lit(0).cast("long").alias("bytes"), F.coalesce(F.sum("part_rows"), F.lit(0)).alias("part_rows"), F.coalesce(F.sum("part_bytes"), F.lit(0)).alias("read_bytes"))
+    return listed.unionAll(read).agg(*[F.sum(c).alias(c) for c in listed.columns])

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.functions.text import entries_text, percent
+from loomstone.functions.text import bytes_text, durations_text, entries_text, milliseconds_text, percent
 
-from .compact import finalize_after, isolated
+from .compact import finalize_after, isolated, ready_since
 from .state import CURRENT_OUTPUT, STATUSES
 
 #: The stages of a rewrite in order.
@@ -171,3 +171,42 @@ def settle_wait(durations: Column, stage: Column, elapsed_ms: Column) -> Column:
 
 def visible(rows: DataFrame, all_rows: bool = False) -> DataFrame:
     return rows if all_rows else rows.filter("status <> 'SUPERSEDED'")
+
+
+#: The columns of the two reports over parts, in order.
+ROW_REPORT = "part_id status attempts worker read_rows read_size written_rows written_size source_rows dest_rows input_parts output_parts partitions failed_merges settle_wait compact_ready_for progress_at updated_at error".split()
+DETAIL_REPORT = "part_id status attempts worker stage stage_elapsed total_elapsed stage_started progress_at updated_at stage_durations error".split()
+
+
+def _text(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def _number(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("long"), F.lit(0).cast("long"))
+
+
+def row_report(rows: DataFrame, now) -> DataFrame:
+    """One row a part as people read it: progress, sizes, partitions, waits, errors. Absent values are empty or zero."""
+    counted = row_parts(rows).select("job_id", "part_id", "parts_in", "parts_out")
+    since = ready_since("compact_ready_at", "progress_updated_at", "updated_at").cast("timestamp_ntz")
+    waited = settle_wait(F.col("rewrite_stage_durations_ms"), F.col("rewrite_stage"), F.col("rewrite_stage_elapsed_ms"))
+    ready = F.when(F.col("status") != "COMPACT_READY", "").when(since.isNull(), "unknown").otherwise(milliseconds_text(elapsed(since, now) * 1000))
+    shown = F.when(F.col("status").isin("READY", "IN_PROGRESS"), "").otherwise(entries_text(F.col("destination_active_partition_counts")))
+    values = [
+        F.col("part_id"), F.col("status"), _number("attempts"), _text("worker_id"), _number("read_rows"), bytes_text(_number("read_bytes")), _number("written_rows"), bytes_text(_number("written_bytes")),
+        _number("source_active_part_rows"), _number("destination_active_part_rows"), _number("parts_in"), _number("parts_out"), shown, _number("destination_failed_merges"),
+        F.coalesce(milliseconds_text(waited), F.lit("")), ready, _text("progress_updated_at"), _text("updated_at"), _text("error"),
+    ]
+    return rows.join(counted, ["job_id", "part_id"]).select(*[v.alias(n) for v, n in zip(values, ROW_REPORT)])
+
+
+def detail_report(rows: DataFrame) -> DataFrame:
+    """One row a part: its stage, how long that and all stages took."""
+    staged = F.coalesce(F.trim("rewrite_stage"), F.lit("")) != ""
+    spent = lambda name: F.when(staged, milliseconds_text(_number(name))).otherwise("")
+    values = [
+        F.col("part_id"), F.col("status"), _number("attempts"), _text("worker_id"), _text("rewrite_stage"), spent("rewrite_stage_elapsed_ms"), spent("rewrite_total_elapsed_ms"),
+        _text("rewrite_stage_started_at"), _text("progress_updated_at"), _text("updated_at"), durations_text(F.col("rewrite_stage_durations_ms")), _text("error"),
+    ]
+    return rows.select(*[v.alias(n) for v, n in zip(values, DETAIL_REPORT)])

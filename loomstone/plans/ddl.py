@@ -240,3 +240,13 @@ def _clause(text: str, words: str) -> str:
 def _expression(text: str) -> str:
     """A partition expression in Spark SQL: toYYYYMM is the one function that has another name there."""
     return re.sub(r"toYYYYMM\(([^()]*)\)", r"cast(year(\1) * 100 + month(\1) as bigint)", text, flags=re.I)
+
+
+def columns_of(source) -> list[tuple[str, str, int]]:
+    """A DataFrame's columns: name, type and place, counted from one."""
+    return [(f.name, f.dataType.simpleString(), k) for k, f in enumerate(source.schema.fields, 1)]
+
+
+def literal(value: str) -> str:
+    """A string literal: quotes are doubled, backslashes stay."""
+    return "'" + value.replace("'", "''") + "'"

@@ -14,6 +14,7 @@ from loomstone.sources import manifest
 
 from . import fixtures
 from .fixtures import DUCKDB
+from .each import each
 from .queries_rewrite import EVENTS, _scratch, _table
 from .registry import query
 
@@ -96,24 +97,47 @@ def merge_decisions(spark, sf_dir):
     return own.select("partition_id", F.when(F.col("decision").startswith("settled"), F.col("decision")).when(F.col("whole"), "merge").otherwise("compact").alias("decision"))
 
 
-@query("active_merge_count", "SELECT CAST(count(*) AS BIGINT) AS n FROM events WHERE event_type = (SELECT min(event_type) FROM events)")
-def active_merge_count(spark, sf_dir):
-    """A filtered count over a log (rows 45, 46)."""
+_LOG = "log AS (SELECT 'db-' || CAST(user_id % 4 AS VARCHAR) AS database, 't-' || CAST(event_id % 3 AS VARCHAR) AS \"table\", CASE event_type WHEN (SELECT min(event_type) FROM events) THEN 'MergeParts' ELSE 'NewPart' END AS event_type, CASE WHEN event_id % 7 = 0 THEN 241 ELSE 0 END AS error FROM events)"
+
+
+def _part_log(spark, sf_dir):
+    """The events as a log of parts: database, table, event_type, error."""
     events = _table(spark, sf_dir, "events")
-    first = events.agg(F.min("event_type").alias("event_type"))
-    return events.join(F.broadcast(first), "event_type", "left_semi").agg(F.count("*").alias("n"))
+    first = events.agg(F.min("event_type")).first()[0]
+    kind = F.when(F.col("event_type") == first, "MergeParts").otherwise("NewPart")
+    error = F.when(F.col("event_id") % 7 == 0, 241).otherwise(0)
+    return events.select(F.concat(F.lit("db-"), (F.col("user_id") % 4).cast("string")).alias("database"), F.concat(F.lit("t-"), (F.col("event_id") % 3).cast("string")).alias("table"), kind.alias("event_type"), error.alias("error"))
+
+
+@query("active_merge_count", f"WITH {_LOG} SELECT CAST(count(*) AS BIGINT) AS n FROM log WHERE event_type = 'MergeParts' AND database = 'db-1' AND \"table\" = 't-2'")
+def active_merge_count(spark, sf_dir):
+    """Merges of one table (row 45)."""
+    return ops.merges_running(_part_log(spark, sf_dir).filter("event_type = 'MergeParts'"), "db-1", "t-2")
 
 
-@query("failed_merge_count", DUCKDB + "SELECT CAST(count(*) AS BIGINT) AS n FROM st WHERE destination_failed_merges <> 0 AND status = 'FINISHED'")
+@query("failed_merge_count", f"WITH {_LOG} SELECT CAST(count(*) AS BIGINT) AS n FROM log WHERE event_type = 'MergeParts' AND error <> 0 AND database = 'db-1' AND \"table\" = 't-2'")
 def failed_merge_count(spark, sf_dir):
-    """Failed merges of finished parts (row 46)."""
-    return fixtures.state(spark, sf_dir).filter("destination_failed_merges <> 0 and status = 'FINISHED'").agg(F.count("*").alias("n"))
+    """Merges of one table that failed (row 46)."""
+    return ops.merges_failed(_part_log(spark, sf_dir), "db-1", "t-2")
 
 
-@query("progress_lookup", DUCKDB + "SELECT part_id, read_rows, read_bytes, written_rows, written_bytes FROM st WHERE part_id = 'part-00000037'")
+_PROGRESS = "CAST(read_rows AS BIGINT) AS read_rows, CAST(read_bytes AS BIGINT) AS read_bytes, CAST(written_rows AS BIGINT) AS written_rows, CAST(written_bytes AS BIGINT) AS written_bytes"
+
+
+@query(
+    "progress_lookup",
+    DUCKDB + ", q(query_id) AS (SELECT min(part_id) FROM st WHERE status = 'IN_PROGRESS' UNION ALL SELECT min(part_id) FROM st WHERE status = 'FINISHED' UNION ALL SELECT 'nowhere')"
+    f" SELECT query_id, CASE status WHEN 'IN_PROGRESS' THEN 'running' WHEN 'FINISHED' THEN 'finished' ELSE 'unknown' END AS state, {', '.join(f'CAST(coalesce({c}, 0) AS BIGINT) AS {c}' for c in ops.PROGRESS)} FROM q LEFT JOIN st ON part_id = query_id",
+)
 def progress_lookup(spark, sf_dir):
-    """Progress of one part: a row or none (row 47)."""
-    return fixtures.state(spark, sf_dir).filter("part_id = 'part-00000037'").select("part_id", "read_rows", "read_bytes", "written_rows", "written_bytes")
+    """Progress of a query that runs, of one that has ended, and of one that nothing knows (row 47)."""
+    rows = fixtures.state(spark, sf_dir).withColumn("query_id", F.col("part_id"))
+    running, finished = rows.filter("status = 'IN_PROGRESS'"), rows.filter("status = 'FINISHED'")
+    out = None
+    for query_id in (running.agg(F.min("query_id")).first()[0], finished.agg(F.min("query_id")).first()[0], "nowhere"):
+        found = ops.progress_of(running, finished, query_id)
+        out = found if out is None else out.unionAll(found)
+    return out
 
 
 @query("latest_query_log", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE event_type <> 'view') WHERE rn = 1")
@@ -129,23 +153,24 @@ def latest_one(spark, sf_dir):
     return _table(spark, sf_dir, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(1).select("event_id", F.col("ts").cast("string").alias("ts"))
 
 
-@query("databases_sorted", "SELECT DISTINCT n_name AS name FROM nation")
+@query("databases_sorted", f"WITH {_LOG} SELECT DISTINCT database AS name FROM log")
 def databases_sorted(spark, sf_dir):
     """Names in order (rows 37, 49)."""
-    return _table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")).distinct().orderBy("name")
+    return ops.names(_part_log(spark, sf_dir), "database")
 
 
-@query("tables_not_in", "SELECT r_name AS db, n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name NOT IN ('ASIA', 'EUROPE')")
+@query("tables_not_in", "SELECT r_name AS database, n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name NOT IN ('ASIA', 'EUROPE')")
 def tables_not_in(spark, sf_dir):
-    """A list without some databases, in order of two keys (row 50)."""
+    """A listing without some databases, in order of two keys (row 50)."""
     both = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return both.filter(~F.col("r_name").isin("ASIA", "EUROPE")).select(F.col("r_name").alias("db"), F.col("n_name").alias("name")).orderBy("db", "name")
+    return ops.tables(both.select(F.col("r_name").alias("database"), F.col("n_name").alias("name")), ["ASIA", "EUROPE"])
 
 
-@query("element_at_first", "SELECT vec_id, embedding[1] AS first, CAST(len(embedding) AS INTEGER) AS n FROM embeddings")
+@query("element_at_first", "SELECT vec_id, CASE WHEN vec_id % 5 > 0 THEN embedding[1] END AS first FROM embeddings")
 def element_at_first(spark, sf_dir):
-    """The first element of an array, counted from one (row 51)."""
-    return _table(spark, sf_dir, "embeddings").select("vec_id", F.element_at("embedding", 1).alias("first"), F.size("embedding").alias("n"))
+    """The first element of an array, counted from one; null where there is none (row 51)."""
+    paths = F.when(F.col("vec_id") % 5 > 0, F.col("embedding")).otherwise(F.slice("embedding", 1, 0))
+    return ops.first_path(_table(spark, sf_dir, "embeddings").select("vec_id", paths.alias("paths")), "paths").select("vec_id", "first")
 
 
 _DISKS = [("default", "/var/lib/"), ("cold", "/var/lib/cold/"), ("colder", "/var/lib/cold/er/"), ("other", "/mnt/x")]
@@ -169,10 +194,14 @@ def require_empty(spark, sf_dir):
     return spark.createDataFrame([(ops.is_empty(_table(spark, sf_dir, "events").filter("value < -1e18")),)], "empty boolean")
 
 
-@query("schema_capture", "SELECT column_name AS name, CAST(row_number() OVER () AS INTEGER) AS place FROM (DESCRIBE SELECT * FROM nation)")
+@query("schema_capture", "SELECT column_name AS name, lower(column_type) AS type, CAST(row_number() OVER () AS INTEGER) AS place FROM (DESCRIBE SELECT n_nationkey, n_name, n_regionkey, CAST(1.5 AS DOUBLE) AS share, DATE '2024-01-01' AS day FROM nation)")
 def schema_capture(spark, sf_dir):
-    """A source's columns in order (rows 54, 57)."""
-    return spark.createDataFrame([(f.name, k) for k, f in enumerate(_table(spark, sf_dir, "nation").schema.fields, 1)], "name string, place int")
+    """A source's columns with their types, in order (rows 54, 57)."""
+    from .ddl import columns_of
+
+    names = {"integer": "integer", "int": "integer", "long": "bigint", "string": "varchar"}
+    source = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey", F.lit(1.5).alias("share"), F.lit("2024-01-01").cast("date").alias("day"))
+    return spark.createDataFrame([(n, names.get(t, t), k) for n, t, k in columns_of(source)], "name string, type string, place int")
 
 
 @query("parts_by_disk", "WITH d(disk) AS (VALUES ('a'), ('b'), ('c'), ('z')) SELECT disk, CAST(count(p_partkey) AS BIGINT) AS n FROM d LEFT JOIN (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS disk FROM part) USING (disk) GROUP BY disk")
@@ -198,10 +227,17 @@ def compact_ids(spark, sf_dir):
     return found.select("output_id", ids.compact_id_column(F.lit(3), F.col("inputs")).alias("id"))
 
 
-@query("byte_formatting", "SELECT k AS bytes, t AS shown FROM (VALUES (0, '0 B'), (300, '300 B'), (1536, '1.5 KB'), (10485760, '10 MB'), (5905580032, '5.5 GB'), (-5, '-5')) AS v(k, t)")
+_SIZE = "CAST(o_orderkey AS BIGINT) * o_orderkey * (o_orderkey % 4) * 64 - CASE WHEN o_orderkey % 50 = 0 THEN 7 ELSE 0 END"
+
+
+@query(
+    "byte_formatting",
+    f"WITH b AS (SELECT o_orderkey, {_SIZE} AS v FROM orders), u AS (SELECT *, CAST(floor(log2(greatest(v, 1)) / 10) AS INTEGER) AS k FROM b), s AS (SELECT *, CAST(v AS DOUBLE) / pow(1024, k) AS x FROM u)"
+    " SELECT o_orderkey, CASE WHEN v < 0 THEN CAST(v AS VARCHAR) ELSE CASE WHEN x = floor(x) THEN CAST(CAST(x AS BIGINT) AS VARCHAR) ELSE printf('%.1f', x) END || ' ' || ['B', 'KB', 'MB', 'GB', 'TB', 'PB', 'EB'][k + 1] END AS shown FROM s",
+)
 def byte_formatting(spark, sf_dir):
     """Byte counts as text (row 105)."""
-    return spark.createDataFrame([(k,) for k in (0, 300, 1536, 10485760, 5905580032, -5)], "bytes long").select("bytes", text.bytes_text(F.col("bytes")).alias("shown"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", text.bytes_text(F.expr(_SIZE)).alias("shown"))
 
 
 @query("rates", "SELECT o_orderkey, CASE WHEN o_custkey % 5 > 0 THEN o_totalprice / (o_custkey % 5) ELSE 0.0 END AS rate FROM orders")
@@ -210,13 +246,15 @@ def rates(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select("o_orderkey", text.rate(F.col("o_totalprice"), F.col("o_custkey") % 5).alias("rate"))
 
 
-_LIMITS = [(8, 32), (16, 64), (64, 128), (64, 256), (128, 2048)]
+@query("insert_sizing", "WITH l AS (SELECT p_partkey, CAST(p_size AS BIGINT) * 3 AS c, (p_partkey % 700 + 1) * 1073741824 AS m FROM part) SELECT p_partkey, greatest(1, least(c // 4, (m * 70 // 100) // 12884901888)) AS threads, (m * 70 // 100) // (6 * greatest(1, least(c // 4, (m * 70 // 100) // 12884901888))) AS block_bytes FROM l")
+def insert_sizing(spark, sf_dir):
+    """Threads and block of a rewrite by CPUs and memory (row 131)."""
 
+    def sized(row):
+        found = sizing.insert_settings(sizing.Limits(row["p_size"] * 3, (row["p_partkey"] % 700 + 1) * sizing.GIB))
+        return {"p_partkey": row["p_partkey"], "threads": found["threads"], "block_bytes": found["block_bytes"]}
 
-@query("insert_sizing", "SELECT CAST(c AS INTEGER) AS cpus, CAST(g AS INTEGER) AS gib, greatest(1, least(c // 4, (g * 1073741824 * 70 // 100) // 12884901888)) AS threads FROM (VALUES " + ", ".join(f"({c}::BIGINT, {g}::BIGINT)" for c, g in _LIMITS) + ") AS v(c, g)")
-def insert_sizing(spark, sf_dir):
-    """Threads of a rewrite by CPUs and memory (row 131)."""
-    return spark.createDataFrame([(c, g, sizing.insert_settings(sizing.Limits(c, g * sizing.GIB))["threads"]) for c, g in _LIMITS], "cpus int, gib int, threads long")
+    return each(_table(spark, sf_dir, "part").select("p_partkey", "p_size"), sized, "p_partkey long, threads long, block_bytes long")
 
 
 @query("metric_deltas", "SELECT event_id, greatest(value - coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY event_id), 0), 0) AS delta FROM events")
@@ -255,21 +293,30 @@ def manifest_round_trip(spark, sf_dir):
     return checked.filter("problem is null and same").select("part_id", "job_id", "s3.bucket", "s3.source_key", "version")
 
 
-@query("manifest_problems", "SELECT * FROM (VALUES ('p2', 'sql.insert_select is missing'), ('p3', 'version isn''t 1')) AS v(part_id, problem)")
+@query(
+    "manifest_problems",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS part_id, CASE WHEN o_orderkey % 5 = 0 THEN 'version isn''t 1' WHEN o_orderkey % 7 = 0 THEN 'source.table is missing' WHEN o_orderkey % 11 = 0 THEN 'sql.insert_select is missing' ELSE 's3.finished_key is missing' END AS problem"
+    " FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 OR o_orderkey % 13 = 0",
+)
 def manifest_problems(spark, sf_dir):
-    """What manifests lack (row 111)."""
-    whole = '{"version":%d,"job_id":"j","part_id":"%s","source":{"table":"s"},"dest":{"database":"d","table":"t"},"part":{"name":"n"},"sql":{"destination_schema":"x","insert_select":"%s"},"s3":{"bucket":"b","source_key":"k","finished_key":"f"}}'
-    rows = spark.createDataFrame([(whole % (1, "p1", "i"),), (whole % (1, "p2", " "),), (whole % (2, "p3", "i"),)], "manifest string")
-    return manifest.problems(manifest.from_text(rows))
+    """What manifests lack, the first of each (row 111)."""
+    key = F.col("o_orderkey")
+    part = key.cast("string")
+    one = lambda k, bad, good: F.when(key % k == 0, bad).otherwise(good)
+    form = F.struct(
+        one(5, 2, 1).alias("version"), F.lit("j").alias("job_id"), part.alias("part_id"), F.struct(one(7, F.lit(None).cast("string"), F.lit("s")).alias("table")).alias("source"),
+        F.struct(F.lit("d").alias("database"), F.lit("t").alias("table")).alias("dest"), F.struct(F.lit("n").alias("name")).alias("part"),
+        F.struct(F.lit("x").alias("destination_schema"), one(11, " ", "i").alias("insert_select")).alias("sql"), F.struct(F.lit("b").alias("bucket"), F.lit("k").alias("source_key"), one(13, "", "f").alias("finished_key")).alias("s3"),
+    )
+    return manifest.problems(manifest.from_text(_table(spark, sf_dir, "orders").select(F.to_json(form).alias("manifest"))))
 
 
-@query("directory_stats", "SELECT CAST(1 AS BIGINT) AS files, CAST(count(*) AS BIGINT) AS part_rows FROM orders")
+@query("directory_stats", "SELECT CAST(5 AS BIGINT) AS files, CAST(count(*) AS BIGINT) AS part_rows, TRUE AS same_bytes FROM orders")
 def directory_stats(spark, sf_dir):
-    """Files and rows of a table's folder, sizes from the listing alone (rows 24, 113)."""
-    found = ops.registry(spark, f"{sf_dir}/orders.parquet")
-    rows = ops.file_rows(spark, f"{sf_dir}/orders.parquet")
-    total = rows.agg(F.coalesce(F.sum("part_rows"), F.lit(0)).alias("part_rows"))
-    return found.agg(F.min(F.lit(1)).cast("long").alias("files"), F.sum("bytes").alias("bytes")).filter("bytes > 0").crossJoin(total).select("files", "part_rows")
+    """Files, rows and bytes of a folder of five files: the listing's bytes are the files' own (rows 23, 24, 113)."""
+    root = _scratch(spark)
+    _table(spark, sf_dir, "orders").repartition(5).write.parquet(root)
+    return ops.directory_stats(spark, root).select("files", "part_rows", ((F.col("bytes") == F.col("read_bytes")) & (F.col("bytes") > 0)).alias("same_bytes"))
 
 
 @query("stream_rewrite", "SELECT event_id AS id, event_type AS name, CAST(user_id AS VARCHAR) AS amount_text, CAST(ts AS DATE) AS event_date, CAST(1 AS SMALLINT) AS migrated FROM events WHERE value > 10")

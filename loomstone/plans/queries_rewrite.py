@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,13 +117,12 @@ def partition_expression(spark, sf_dir):
     return _table(spark, sf_dir, "events").groupBy(F.expr(spec.partition_by).alias("month")).agg(F.count("*").alias("n"))
 
 
-@query("sort_key_order", "SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY year(l_shipdate) * 100 + month(l_shipdate) ORDER BY l_shipdate, l_orderkey, l_linenumber) AS INTEGER) AS place FROM lineitem")
+@query("sort_key_order", f"SELECT *, CAST(row_number() OVER (PARTITION BY year(ship_date) * 100 + month(ship_date) ORDER BY net_cents, order_key, line) AS BIGINT) AS place FROM ({LINES_ORACLE})")
 def sort_key_order(spark, sf_dir):
-    """A row's place under the destination's sort key in its partition (row 10)."""
-    from pyspark.sql import Window
-
-    month = F.expr("year(l_shipdate) * 100 + month(l_shipdate)")
-    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(Window.partitionBy(month).orderBy("l_shipdate", "l_orderkey", "l_linenumber")).alias("place"))
+    """A staged row's place in its partition's file, which is its place under the destination's sort key (row 10)."""
+    spec = replace(LINES, sort_by=("net_cents", "order_key", "line"))
+    path = staged(rewritten(_table(spark, sf_dir, "lineitem"), LINES_SELECT, spec), spec, _scratch(spark))
+    return spark.read.parquet(path).select(*spec.schema.names, (F.col("_metadata.row_index") + 1).alias("place"))
 
 
 #: Statements over `events`, and whether a part's rows decide for themselves.

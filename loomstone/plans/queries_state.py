@@ -35,9 +35,9 @@ def list_jobs(spark, sf_dir):
     return state.distinct_jobs(fixtures.state(spark, sf_dir))
 
 
-@query("claim_order", DUCKDB + "SELECT job_id, part_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY updated_at, part_id) AS INTEGER) AS place FROM st WHERE status = 'READY'")
+@query("claim_order", DUCKDB + "SELECT job_id, part_id, CAST(row_number() OVER (ORDER BY updated_at, job_id, part_id) AS BIGINT) AS place FROM st WHERE status = 'READY'")
 def claim_order(spark, sf_dir):
-    """READY parts in the order in which workers take them (rows 59, 60)."""
+    """READY parts of all jobs in the order in which workers take them (rows 59, 60)."""
     return state.claim_order(fixtures.state(spark, sf_dir)).select("job_id", "part_id", "place")
 
 
@@ -143,10 +143,17 @@ def stale_leases(spark, sf_dir):
     return _keys(compact.stale_leases(fixtures.state(spark, sf_dir), _now(), 36000000))
 
 
-@query("ready_time", DUCKDB + "SELECT job_id, part_id, CAST(coalesce(compact_ready_at, progress_updated_at, updated_at, compacting_at) AS VARCHAR) AS ready FROM st")
+@query(
+    "ready_time",
+    DUCKDB + ", t AS (SELECT job_id, part_id, CASE WHEN part_rows % 4 = 0 THEN '  ' WHEN part_rows % 4 = 1 THEN 'first' END AS a, CASE WHEN part_rows % 3 = 0 THEN '' ELSE 'second' END AS b, CASE WHEN part_rows % 5 > 0 THEN 'third' END AS c FROM st)"
+    " SELECT job_id, part_id, coalesce(nullif(trim(a), ''), nullif(trim(b), ''), nullif(trim(c), ''), 'none') AS ready FROM t",
+)
 def ready_time(spark, sf_dir):
-    """Since when a part is ready: the first time that is there (row 74)."""
-    return fixtures.state(spark, sf_dir).select("job_id", "part_id", compact.ready_since("compact_ready_at", "progress_updated_at", "updated_at", "compacting_at").cast("string").alias("ready"))
+    """Since when a part is ready: the first time, as text, that isn't blank (row 74)."""
+    n = F.col("destination_active_part_rows")
+    times = {"a": F.when(n % 4 == 0, "  ").when(n % 4 == 1, "first"), "b": F.when(n % 3 == 0, "").otherwise("second"), "c": F.when(n % 5 > 0, "third")}
+    rows = fixtures.state(spark, sf_dir).withColumns(times)
+    return rows.select("job_id", "part_id", F.coalesce(compact.ready_since("a", "b", "c"), F.lit("none")).alias("ready"))
 
 
 _AFTER = "after AS (SELECT job_id, max(coalesce(compact_ready_at, progress_updated_at, updated_at)) + INTERVAL 86400 SECOND AS finalize_after FROM st WHERE status IN ('COMPACT_READY', 'COMPACTING') GROUP BY job_id)"
@@ -158,10 +165,13 @@ def finalize_after(spark, sf_dir):
     return compact.finalize_after(fixtures.state(spark, sf_dir), 86400).select("job_id", F.col("finalize_after").cast("string").alias("finalize_after"))
 
 
-@query("window_expired", DUCKDB + f", {_AFTER} SELECT job_id FROM after WHERE finalize_after <= {_AT}")
+@query("window_expired", DUCKDB + f", {_AFTER}, middle AS (SELECT median(finalize_after) AS t FROM after) SELECT job_id FROM after, middle WHERE finalize_after <= t")
 def window_expired(spark, sf_dir):
-    """Jobs whose window has ended (row 78)."""
-    return compact.window_expired(fixtures.state(spark, sf_dir), 86400, _now())
+    """Jobs whose window has ended, at a time when half of them have (row 78)."""
+    rows = fixtures.state(spark, sf_dir)
+    ends = compact.finalize_after(rows, 86400)
+    middle = ends.agg(F.median(F.unix_micros(F.col("finalize_after").cast("timestamp"))).alias("t")).select(F.timestamp_micros(F.col("t").cast("long")).cast("timestamp_ntz").alias("t")).first()["t"]
+    return compact.window_expired(rows, 86400, F.lit(middle).cast("timestamp_ntz"))
 
 
 _ISOLATED = (
@@ -230,23 +240,26 @@ def lineage_problems(spark, sf_dir):
     return selection.lineage_problems(fixtures.state_with_outputs(spark, sf_dir)).groupBy("job_id", "part_id", "problem").agg(F.count("*").alias("n"))
 
 
-_CHAIN = "chain(job_id, output, input) AS (SELECT 'j', 'c' || CAST(r_regionkey AS VARCHAR), 'c' || CAST(r_regionkey + 1 AS VARCHAR) FROM region)"
+_CHAIN = "chain AS (SELECT 'j' || (CASE WHEN p_partkey < 10 THEN 0 ELSE p_partkey % 3 END) AS job_id, p_partkey AS o, CASE WHEN p_partkey < 10 THEN p_partkey - 1 ELSE p_partkey - 3 END AS i FROM part WHERE p_partkey > 0 AND p_partkey < 40)"
+
 
+def _chain(spark, sf_dir, input_="CASE WHEN p_partkey < 10 THEN p_partkey - 1 ELSE p_partkey - 3 END"):
+    """Chains of parts, each made of another: of 9 generations in one job, which one of 10 goes on from, and of 10 in two others."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey > 0 and p_partkey < 40")
+    job = "concat('j', CASE WHEN p_partkey < 10 THEN 0 ELSE p_partkey % 3 END)"
+    return part.selectExpr(f"{job} AS job_id", "concat('c', p_partkey) AS output", f"concat('c', {input_}) AS input")
 
-@query("lineage_depth", "WITH RECURSIVE " + _CHAIN + ", below AS (SELECT job_id, output, input, 1 AS depth FROM chain UNION ALL SELECT b.job_id, b.output, c.input, b.depth + 1 FROM below b JOIN chain c ON b.input = c.output) SELECT job_id, output, max(depth) AS depth FROM below GROUP BY ALL")
+
+@query("lineage_depth", f"WITH RECURSIVE {_CHAIN}, below AS (SELECT job_id, o, i, 1 AS depth FROM chain UNION ALL SELECT b.job_id, b.o, c.i, b.depth + 1 FROM below b JOIN chain c ON b.job_id = c.job_id AND b.i = c.o) SELECT job_id, 'c' || o AS output, CAST(max(depth) AS INTEGER) AS depth FROM below GROUP BY ALL")
 def lineage_depth(spark, sf_dir):
     """Generations below each output (row 84)."""
-    region = spark.read.parquet(f"{sf_dir}/region.parquet")
-    edges = region.selectExpr("'j' AS job_id", "concat('c', cast(r_regionkey AS string)) AS output", "concat('c', cast(r_regionkey + 1 AS string)) AS input")
-    return selection.lineage_depth(edges)
+    return selection.lineage_depth(_chain(spark, sf_dir))
 
 
-@query("lineage_cycles", "SELECT 'j' AS job_id, 'c' || CAST(r_regionkey AS VARCHAR) AS output FROM region WHERE r_regionkey <= 2")
+@query("lineage_cycles", f"WITH {_CHAIN} SELECT job_id, 'c' || o AS output FROM chain WHERE o >= 5 AND (o < 10 OR o % 3 = 0) OR o >= 22 AND o % 3 = 1")
 def lineage_cycles(spark, sf_dir):
-    """Outputs on a cycle or above one (row 84)."""
-    region = spark.read.parquet(f"{sf_dir}/region.parquet")
-    edges = region.selectExpr("'j' AS job_id", "concat('c', cast(r_regionkey AS string)) AS output", "concat('c', cast(CASE WHEN r_regionkey = 2 THEN 1 ELSE r_regionkey + 1 END AS string)) AS input")
-    return selection.lineage_cycles(edges)
+    """Outputs on a cycle or above one: 5 is made of 7, and 22 of 25 (row 84)."""
+    return selection.lineage_cycles(_chain(spark, sf_dir, "CASE WHEN p_partkey = 5 THEN 7 WHEN p_partkey = 22 THEN 25 WHEN p_partkey < 10 THEN p_partkey - 1 ELSE p_partkey - 3 END"))
 
 
 @query("reset_plan", DUCKDB + "SELECT job_id, part_id, 'reset' AS action, 'READY' AS status FROM st WHERE compact_generation = 0 UNION ALL SELECT job_id, part_id, 'delete', '' FROM st WHERE compact_generation > 0 UNION ALL SELECT job_id, output_id, 'delete', '' FROM outputs")
@@ -383,12 +396,20 @@ def partition_rendering(spark, sf_dir):
     return status.partitions_text(fixtures.state(spark, sf_dir))
 
 
-@query("stage_durations", DUCKDB + "SELECT part_id, 'insert_select=' || part_rows || ',wait_merges=' || part_bytes AS durations, part_bytes AS settle FROM st")
+_MS = "CAST(part_rows AS BIGINT) * part_rows * part_bytes * 10"
+_SHOWN = (
+    "CASE WHEN {0} = 0 THEN '0s' WHEN {0} < 1000 THEN {0} || 'ms' ELSE CASE WHEN {0} >= 3600000 THEN ({0} // 3600000) || 'h' ELSE '' END || CASE WHEN {0} >= 60000 THEN ({0} // 60000 % 60) || 'm' ELSE '' END"
+    " || ({0} // 1000 % 60) || CASE WHEN {0} % 1000 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST({0} % 1000 AS VARCHAR), 3, '0'), '0') END || 's' END"
+)
+
+
+@query("stage_durations", DUCKDB + f", m AS (SELECT part_id, {_MS} AS a, CAST(part_bytes AS BIGINT) AS b FROM st) SELECT part_id, 'insert_select=' || {_SHOWN.format('a')} || ',wait_merges=' || {_SHOWN.format('b')} AS durations, b AS settle FROM m")
 def stage_durations(spark, sf_dir):
-    """Stage times as text, and how long a part waited for merges (rows 103, 104)."""
+    """Stage times as people read them, and how long a part waited for merges (rows 103, 104)."""
     from loomstone.functions.text import durations_text
 
-    spent = F.create_map(F.lit("wait_merges"), F.col("destination_active_part_bytes"), F.lit("insert_select"), F.col("destination_active_part_rows"))
+    rows_, bytes_ = F.col("destination_active_part_rows"), F.col("destination_active_part_bytes")
+    spent = F.create_map(F.lit("wait_merges"), bytes_, F.lit("insert_select"), rows_ * rows_ * bytes_ * 10)
     rows = fixtures.state(spark, sf_dir).withColumn("spent", spent)
     return rows.select("part_id", durations_text(F.col("spent")).alias("durations"), status.settle_wait(F.col("spent"), F.col("rewrite_stage"), F.lit(0).cast("long")).alias("settle"))
 
@@ -417,10 +438,11 @@ def progress_merge(spark, sf_dir):
     return state.merged_progress(rows, new, ["job_id", "part_id"], ["read_rows"]).select("job_id", "part_id", "read_rows")
 
 
-@query("partition_counts_clean", DUCKDB + "SELECT part_id, CAST(CASE WHEN part_rows % 2 = 0 THEN 0 ELSE 1 END AS INTEGER) AS entries FROM st")
+@query("partition_counts_clean", DUCKDB + "SELECT part_id, CASE WHEN part_rows % 2 = 0 THEN 'none' ELSE '202401:2,202402:' || (part_rows % 3 + 1) END AS counts FROM st")
 def partition_counts_clean(spark, sf_dir):
     """Partition counts without blank ids and zeros; none is null (row 154)."""
-    zero = F.when(F.col("destination_active_part_rows") % 2 == 0, F.lit(0)).otherwise(F.lit(2))
-    counts = F.create_map(F.lit("202401"), zero, F.lit(" "), F.lit(5))
-    clean = F.map_filter(counts, lambda k, v: (F.trim(k) != "") & (v > 0))
-    return fixtures.state(spark, sf_dir).select("part_id", F.coalesce(F.when(F.size(clean) > 0, F.size(clean)), F.lit(0)).alias("entries"))
+    rows = F.col("destination_active_part_rows")
+    counts = F.create_map(F.lit("202401"), F.when(rows % 2 == 0, 0).otherwise(2).cast("long"), F.lit(" "), F.lit(5).cast("long"), F.lit("202402"), F.when(rows % 2 == 0, 0).otherwise(rows % 3 + 1))
+    clean = state.clean_counts_column(counts)
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries(clean)), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    return fixtures.state(spark, sf_dir).select("part_id", F.coalesce(F.when(clean.isNotNull(), shown), F.lit("none")).alias("counts"))
