@@ -28,6 +28,8 @@ TOKENIZER = "byte_bpe_50k.json"
 PIECES = 1 << 20
 #: Ids from which a chunk is closed at the next end of a document.
 CHUNK = rangecoder.BLOCK * rangecoder.LANES
+#: Bytes of text a partition, about a few chunks.
+PART_BYTES = 128 << 20
 SCHEMA = "part int, chunk int, docs array<struct<doc_id:long,n:long>>, data binary"
 
 
@@ -83,7 +85,10 @@ def cut(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class Known:
-    """Ids of the pieces met so far, by a hash of the piece, in an open table that numpy probes for many at once."""
+    """Ids of the pieces met so far, by a 64-bit hash of the piece, in an open table that numpy probes for many at once.
+
+    Pieces of one hash are taken as equal.
+    """
 
     def __init__(self, bits: int = 16):
         self.keys, self.slots = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
@@ -186,11 +191,15 @@ def encoder(path: str) -> Encoder:
 def write(documents: DataFrame, path: str, tokenizer: str, end_id: int, parts: int | None = None) -> str:
     """Encode doc_id, text (null: empty) with end_id after each, in ascending doc_id order, and write the files; returns path.
 
-    Rows of a null id come first; repeated rows are all written; rows of one id are in the order of their texts.
+    Rows of a null id come first; repeated rows are all written; rows of one id are in the order of their texts. Whole
+    texts are encoded, however long: a text longer than a batch is a chunk of its own. Other columns are left out. No rows
+    make no files. Without `parts` there are as many partitions as the texts' bytes need, and no fewer than the session has.
     """
     spark = documents.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if parts is None:
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     kinds = pa.struct([("doc_id", pa.int64()), ("n", pa.int64())])
     schema = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("docs", pa.list_(kinds)), ("data", pa.binary())])

@@ -1,5 +1,6 @@
 import bisect
 import random
+import re
 import zlib
 
 import numpy as np
@@ -13,14 +14,14 @@ from loomstone.llm import rangecoder, tokenfile, tokens
 PATH = public_tokenizers.path(tokenfile.TOKENIZER)
 
 
-@pytest.mark.parametrize("ids", [[], [5], [0, 1, 65535], [7] * 9000, list(range(0, 65536, 13)) * 3])
+@pytest.mark.parametrize("ids", [[], [5], [0, 1, 65535], [7] * 9000, list(range(0, 65536, 13)) * 3, [(1 << 28) - 1, 1 << 16, 70_000, 1 << 20] * 3000, list(range(9000, 0, -1))])
 def test_round_trip(ids):
     ids = np.array(ids, np.int64)
     assert (rangecoder.decode(rangecoder.encode(ids)) == ids).all()
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.integers(0, 65535) | st.integers(0, 3), max_size=300), st.integers(1, 64))
+@given(st.lists(st.integers(0, (1 << 28) - 1) | st.integers(0, 65535) | st.integers(0, 3), max_size=300), st.integers(1, 64))
 def test_round_trip_of_any(ids, block):
     ids = np.array(ids, np.int64)
     assert (rangecoder.decode(rangecoder.encode(ids, block)) == ids).all()
@@ -28,8 +29,27 @@ def test_round_trip_of_any(ids, block):
 
 def test_coder_learns():
     assert len(rangecoder.encode(np.tile(np.array([5, 9, 300, 7]), 5000))) < 2500
-    with pytest.raises(ValueError):
-        rangecoder.encode(np.array([1 << 16]))
+    for bad in (1 << 28, -1):
+        with pytest.raises(ValueError):
+            rangecoder.encode(np.array([bad]))
+
+
+def test_more_ids_than_the_table_keeps(monkeypatch):
+    monkeypatch.setattr(rangecoder, "KEPT", 16)
+    ids = np.random.default_rng(2).integers(0, 60, 6000)
+    assert (rangecoder.decode(rangecoder.encode(ids, 1500)) == ids).all()
+
+
+def test_coder_beats_deflate_and_nears_the_entropy_of_its_blocks(documents):
+    """On the same blocks of real ids: fewer bytes than zlib makes of 16-bit ids, and near the entropy that leaves out the table."""
+    encoder = tokenfile.Encoder(PATH)
+    ids, _ = encoder([r["text"] or "" for r in documents.collect()])
+    size = rangecoder.BLOCK
+    blocks = [ids[i : i + size] for i in range(0, len(ids), size)]
+    own = len(rangecoder.encode(ids))
+    assert own < 0.87 * sum(len(zlib.compress(b.astype("<u2").tobytes(), 9)) for b in blocks)
+    counts = [np.unique(b, return_counts=True)[1] for b in blocks]
+    assert own < 1.08 * sum(-(c * np.log2(c / c.sum())).sum() / 8 for c in counts)
 
 
 def test_damage_is_found():
@@ -124,3 +144,35 @@ def test_sections_of_odd_documents(odd_documents, no_documents):
     fields = tokens.counted(odd_documents, ["lang", "text"], path, "share", by_line=False).filter("doc_id = 4").orderBy("field").collect()
     assert [g["field"] for g in fields] == ["lang", "text"] and sum(g["tokens"] for g in fields) == pytest.approx(len(tokens.spans("enOne two", path)))
     assert tokens.counted(no_documents, ["text"], path).isEmpty()
+
+
+def test_query_of_token_output(spark, sf_dir, documents):
+    """The registered query against the library, document by document."""
+    from tokenizers import Tokenizer
+
+    from loomstone.llm.queries import QUERIES
+
+    library, at, want = Tokenizer.from_file(PATH), 0, []
+    for r in documents.orderBy("doc_id").collect():
+        ids = [*library.encode(r["text"] or "", add_special_tokens=False).ids, 2]
+        want.append((r["doc_id"], at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(tuple(r) for r in QUERIES["op2_token_output"](spark, sf_dir).select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == want
+
+
+def test_query_of_token_counts(spark, sf_dir, documents):
+    """The registered query against the library's offsets: a token belongs to the line of its first character."""
+    from tokenizers import Tokenizer
+
+    from loomstone.llm.queries import QUERIES
+
+    library, want = Tokenizer.from_file(PATH), []
+    for r in documents.collect():
+        lines = re.findall(r"[^\n]*\n|[^\n]+", r["text"] or "") or [""]
+        counts, starts, first = [0] * len(lines), np.cumsum([0, *map(len, lines)]), np.cumsum([0, *(len(x.encode()) for x in lines)])
+        offsets = library.encode(r["text"] or "", add_special_tokens=False).offsets
+        for a, _ in offsets:
+            counts[bisect.bisect_right(starts.tolist(), a) - 1] += 1
+        want += [(r["doc_id"], k, int(first[k]), int(first[k + 1]), n) for k, n in enumerate(counts)]
+    got = QUERIES["op6_token_counts"](spark, sf_dir).select("doc_id", "section", "first_byte", "end_byte", "n_tokens").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
