@@ -221,16 +221,26 @@ def media(rows: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def packet_table(files: DataFrame, key: str, column: str = "media") -> DataFrame:
-    """key and a binary column of Matroska files -> a row a packet: key, track, timestamp_ms, first_byte, end_byte."""
-    schema = pa.schema([("key", pa.int64()), ("track", pa.int32()), ("timestamp_ms", pa.int64()), ("first_byte", pa.int64()), ("end_byte", pa.int64())])
+    """key and a binary column of Matroska files -> a row a packet: key, track, timestamp_ms, first_byte, end_byte, problem.
+
+    A file that breaks off or is malformed gives one row, of its key and of what is wrong in `problem`, and no packets;
+    of whole files problem is null. Null and empty files have no rows. Repeated files are parsed each; other columns
+    are left out, so that no name can clash.
+    """
+    schema = pa.schema([("key", pa.int64()), ("track", pa.int32()), ("timestamp_ms", pa.int64()), ("first_byte", pa.int64()), ("end_byte", pa.int64()), ("problem", pa.string())])
 
     def parse(batches):
         for batch in batches:
             for part in slices(batch, "data"):
-                rows = [(k, *p) for k, x in zip(part.column(0).to_pylist(), values(part.column(1))) if x for p in demux(x)["packets"]]
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)
-
-    return files.selectExpr(f"cast({key} as long) key", f"{column} data").mapInArrow(lean(parse), "key long, track int, timestamp_ms long, first_byte long, end_byte long").withColumnRenamed("key", key)
+                rows = []
+                for k, x in zip(part.column(0).to_pylist(), values(part.column(1))):
+                    try:
+                        rows += [(k, *p, None) for p in demux(x)["packets"]] if x else []
+                    except (ValueError, IndexError, struct.error) as e:
+                        rows.append((k, None, None, None, None, str(e) or type(e).__name__))
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, schema)], schema=schema)
+
+    return files.selectExpr(f"cast({key} as long) key", f"{column} data").mapInArrow(lean(parse), "key long, track int, timestamp_ms long, first_byte long, end_byte long, problem string").withColumnRenamed("key", key)
 
 
 def digest(stored: bytes) -> tuple:

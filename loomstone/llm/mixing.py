@@ -63,7 +63,7 @@ def mix(rows: DataFrame, sized: DataFrame, targets: DataFrame, seed: str) -> Dat
     sorted whole: words are summed in 16**3 bins of the hash a source, the bin in which the rest is filled is
     split again, and only rows of the last, 16**9th part of a source are put in order. Null sources are a source
     of their own; null ids hash as the text "null"; documents of no words are taken as often as the others, but
-    never where the whole source has no words.
+    never where the whole source has no words. No document is taken oftener than the epochs allow.
     """
     code = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -87,7 +87,7 @@ def mix(rows: DataFrame, sized: DataFrame, targets: DataFrame, seed: str) -> Dat
     before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = full.filter(prefix == F.col("__cut")).withColumn("__more", (before * 2 + F.col("size") <= F.col("__room") * 2).cast("long"))
     rest = full.filter(F.col("__cut").isNull() | (prefix != F.col("__cut"))).withColumn("__more", F.coalesce((prefix < F.col("__cut")).cast("long"), F.lit(0).cast("long")))
-    out = rest.unionByName(edge).withColumn("copies", F.col("__whole") + F.col("__more")).withColumn("taken", F.col("copies") * F.col("size"))
+    out = rest.unionByName(edge).withColumn("copies", F.col("__whole") + F.when(F.col("__rest") > 0, F.col("__more")).otherwise(0)).withColumn("taken", F.col("copies") * F.col("size"))
     return out.drop("__code", "__cut", "__room", "__more", "__whole", "__rest")
 
 

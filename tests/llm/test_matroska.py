@@ -2,6 +2,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from loomstone.llm import matroska as m
@@ -48,6 +49,20 @@ def test_foreign_files():
         m.demux(file + b"\xa3\x99\x00")
 
 
+def test_malformed_files(spark):
+    """Files that are cut off anywhere, changed, or no media at all: a row that says so, and the others are parsed."""
+    whole = m.mux(m.padded(b"some payload " * 90))
+    r = np.random.default_rng(0)
+    bad = [whole[:k] for k in range(1, len(whole), 97)] + [bytes(r.integers(0, 256, 200).astype(np.uint8)) for _ in range(40)]
+    bad += [whole[:k] + bytes([whole[k] ^ 0xFF]) + whole[k + 1 :] for k in range(0, 120)]
+    rows = spark.createDataFrame([*enumerate(bad), (10_000, whole), (10_001, None), (10_002, b"")], "id long, media binary")
+    found = m.packet_table(rows, "id").collect()
+    assert {x["id"] for x in found} <= {*range(len(bad)), 10_000} and not [x for x in found if x["id"] == 10_000 and x["problem"]]
+    broken = [x for x in found if x["problem"]]
+    assert len(broken) > 20 and all(x["track"] is None for x in broken) and not {x["id"] for x in broken} & {x["id"] for x in found if not x["problem"]}
+    assert b"".join(whole[x["first_byte"] : x["end_byte"]] for x in found if x["id"] == 10_000) == m.padded(b"some payload " * 90)
+
+
 def test_tables(spark, odd_documents, no_documents):
     files = m.media(odd_documents, "doc_id", "text")
     packets = m.packet_table(files, "doc_id").groupBy("doc_id").count().collect()

@@ -46,6 +46,15 @@ def test_odd_documents(spark, odd_documents):
     assert mixing.repeated(odd_documents, [3.0, 1.0, 2.0], 1.5, 2.0, "s").columns == odd_documents.columns
 
 
+def test_rows_without_words_keep_to_the_epochs(spark):
+    rows = [(i, "a", "" if i < 5 else "some words here") for i in range(20)] + [(100 + i, "b", "word " * 50) for i in range(40)] + [(200, "c", None)]
+    for share in (1.5, 40.0):
+        table = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+        plan = {r["doc_id"]: r["copies"] for r in mixing.mixed(table, [3.0, 1.0, 2.0], share, 2.0, "s").collect()}
+        assert max(plan.values()) <= 2 and min(plan[i] for i in range(20)) >= 1 and plan[200] == 0
+        assert mixing.repeated(table, [3.0, 1.0, 2.0], share, 2.0, "s").count() == sum(plan.values())
+
+
 def test_close_to_targets(spark, documents):
     rows = mixing.mixed(documents, [3.0, 1.0, 2.0], 1.5, 2.0, "s").collect()
     for source in {x["source"] for x in rows}:

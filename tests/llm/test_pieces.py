@@ -76,3 +76,15 @@ def test_dictionary():
     keys = spans_hash(mixed(points), ends - [len(u) for u in units], ends)
     assert known.find(keys).tolist() == list(range(3000)) and known.find(keys ^ np.uint64(1)).tolist() == [-1] * 3000
     assert pieces.Dictionary([], []).find(keys).tolist() == [-1] * 3000
+
+
+def test_query(spark, sf_dir, library):
+    """The registered query against the library, document by document."""
+    from loomstone.llm.queries import QUERIES
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = QUERIES["op10_sentencepiece"](spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = library.encode(texts[r["doc_id"]])
+        assert (r["n_pieces"], r["ids_crc32"], r["round_trip"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), library.decode(ids) == texts[r["doc_id"]])

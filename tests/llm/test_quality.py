@@ -94,3 +94,22 @@ def test_learns_from_its_part_of_the_labels_alone(spark, documents, sf_dir):
     assert {t.tobytes().decode() for t in texts} <= free and len(texts) == len(y)
     assert not {t.tobytes().decode() for t in texts} & (held - free)
     assert len(quality.sample(documents, labels, "quality", 7)[0]) <= 7
+
+
+def test_query(spark, sf_dir, documents):
+    """The registered query: which rows are held out, that equal texts have equal scores, and how well held out rows are told."""
+    import zlib
+
+    from loomstone.llm.queries import QUERIES
+
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    rows = QUERIES["op7_quality"](spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    by_text = {}
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and r["predicted"] == int(r["score"] >= 0.7) and 0 <= r["score"] <= 1
+        by_text.setdefault(texts[r["doc_id"]] or "", set()).add(r["score"])
+    assert all(len(s) == 1 for s in by_text.values())
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    held = [(r["predicted"], labels[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in labels]
+    assert len(held) > 10 and sum(p == y for p, y in held) >= 0.8 * len(held)

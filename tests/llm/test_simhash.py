@@ -199,3 +199,13 @@ def test_components(spark):
     got = {x["node"]: x["root"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == i // 100 * 100 for i in range(300) if i % 100) and got[501] == 500
     assert components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
+def test_query(spark, sf_dir, documents):
+    """The registered query against fingerprints and components made plainly."""
+    from loomstone.llm.queries import QUERIES
+
+    rows = documents.collect()
+    marks = [brute(r["text"], 3) for r in rows]
+    want = [(r["doc_id"], f"{m:016x}", c) for r, m, c in zip(rows, marks, reached([r["doc_id"] for r in rows], marks, 3))]
+    assert sorted(tuple(r) for r in QUERIES["op4_simhash"](spark, sf_dir).collect()) == sorted(want)
