@@ -215,7 +215,11 @@ def fitted(documents: DataFrame, labels: DataFrame, label: str = "quality") -> N
 
 
 def scored(documents: DataFrame, network: Network) -> DataFrame:
-    """documents with a column score (0 to 1), in one pass without a shuffle; null and empty texts have one, the same for all."""
+    """documents with a column score (0 to 1), in one pass without a shuffle; null and empty texts have one, the same for all.
+
+    Whole texts are scored, however long; repeated rows are kept and equal texts have equal scores. An input column
+    named score is replaced; all others are kept.
+    """
     fields = [f for f in documents.schema.fields if f.name != "score"]
     rows = documents.select(*[f"`{f.name}`" for f in fields])
     weights = network.weights
@@ -237,7 +241,11 @@ def scored(documents: DataFrame, network: Network) -> DataFrame:
 
 
 def classified(documents: DataFrame, labels: DataFrame, label: str = "quality", least: float = 0.7) -> DataFrame:
-    """documents with score and predicted (1 if score is `least` or more)."""
+    """documents with score and predicted (1 if score is `least` or more, a score of just that too).
+
+    Input columns of these names are replaced. Without documents there are no rows; without labels, or with null ones
+    alone, an untrained network scores. Otherwise as scored().
+    """
     return scored(documents, fitted(documents, labels, label)).withColumn("predicted", (F.col("score") >= least).cast("int"))
 
 

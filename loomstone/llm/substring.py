@@ -288,6 +288,9 @@ def cut(text: bytes, gone: np.ndarray) -> bytes:
 def finished(documents: DataFrame, runs: DataFrame, size: int, digest: bool) -> DataFrame:
     """documents with the windows removed: n_words, n_removed and kept_sha256, or all columns with the text cut.
 
+    Null texts have no words and stay null; rows without an id lose none; repeated rows are kept, each cut alike; whole
+    texts are cut, however long. Without digest every column is kept, whatever its name (two leading underscores are
+    reserved); with it those besides doc_id and text are left out. No documents give no rows.
     Only documents that have such windows, and few others, are shuffled to meet them: a filter of bounded
     size tells those that surely have none.
     """
