@@ -295,6 +295,9 @@ def encode_column(column: pa.Array, words: Vocabulary, known: Dictionary, memo:
 def encoded(documents: DataFrame, path: str, most: int = DICTIONARY, digest: bool = False) -> DataFrame:
     """documents with a column ids (array<int>): what the model's own encoder gives. Null and empty texts have none.
 
+    Whole texts are encoded, however long; repeated rows are kept and equal texts have equal ids. An input column named
+    ids is replaced, all others are kept. No documents give no rows. Units of one 64-bit hash are taken as equal.
+
     With digest, instead doc_id, n_pieces, ids_crc32 (of little-endian 32-bit ids), round_trip (whether decoding
     gives the text).
     """
