@@ -2,7 +2,8 @@
 
 A file set is a folder of Parquet files whose rows are chunks: part and chunk (their order), docs (ids and
 token counts, in order) and data (what rangecoder.encode makes). Parquet only carries the chunks, so that any
-store that Spark can write will do and lost executors leave no half written file.
+store that Spark can write will do and lost executors leave no half written file. Texts become ids in Python; the
+coder runs in Spark's JVMs (jvmcoder), which makes the same bytes.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import rangecoder
+from . import jvmcoder, rangecoder
 from .common import fresh, lean, read, slices
 from .registry import query
 from .words import U, mixed, spans_hash
@@ -27,8 +28,8 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Pieces that a worker remembers at most.
 PIECES = 1 << 20
 #: Ids from which a chunk is closed at the next end of a document.
-CHUNK = rangecoder.BLOCK * rangecoder.LANES
-#: Bytes of text a partition, about a few chunks.
+CHUNK = rangecoder.BLOCK * 64
+#: Bytes of text a partition.
 PART_BYTES = 128 << 20
 SCHEMA = "part int, chunk int, docs array<struct<doc_id:long,n:long>>, data binary"
 
@@ -192,8 +193,8 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int, parts: i
     """Encode doc_id, text (null: empty) with end_id after each, in ascending doc_id order, and write the files; returns path.
 
     Rows of a null id come first; repeated rows are all written; rows of one id are in the order of their texts. Whole
-    texts are encoded, however long: a text longer than a batch is a chunk of its own. Other columns are left out. No rows
-    make no files. Without `parts` there are as many partitions as the texts' bytes need, and no fewer than the session has.
+    texts are encoded, however long: a text longer than a batch is a chunk of its own; one of 2 ** 29 ids or more, beyond
+    what an array of Spark's holds, is an error. Other columns are left out. No rows make no files. Without `parts` there are as many partitions as the texts' bytes need, and no fewer than the session has.
     """
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -209,7 +210,7 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int, parts: i
         last = np.array([end_id], np.int32)
 
         def close():
-            return pa.record_batch([pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([docs], schema.field(2).type), pa.array([rangecoder.encode(np.concatenate(ids))], pa.binary())], schema=schema)
+            return pa.record_batch([pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([docs], schema.field(2).type), pa.array([np.concatenate(ids).astype("<i4", copy=False).tobytes()], pa.binary())], schema=schema)
 
         for batch in batches:
             for piece in slices(batch, "text"):
@@ -225,7 +226,8 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int, parts: i
         if docs:
             yield close()
 
-    ordered.mapInArrow(lean(run), SCHEMA).write.parquet(path)
+    chunks = ordered.mapInArrow(lean(run), SCHEMA)
+    chunks.withColumn("data", jvmcoder.encoded(spark, F.col("data"))).write.parquet(path)
     return path
 
 
@@ -247,7 +249,7 @@ def read_back(spark: SparkSession, path: str, digest: bool = True) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 part, chunk, docs, data = (c[k].as_py() for c in batch.columns)
-                ids = rangecoder.decode(data).astype("<u4")
+                ids = np.frombuffer(data, "<u4")
                 ends = np.cumsum([d["n"] for d in docs])
                 starts = ends - [d["n"] for d in docs]
                 if digest:
@@ -257,7 +259,7 @@ def read_back(spark: SparkSession, path: str, digest: bool = True) -> DataFrame:
                 n = len(docs)
                 yield pa.record_batch([pa.array([part] * n, pa.int32()), pa.array([chunk] * n, pa.int32()), pa.array([d["doc_id"] for d in docs], pa.int64()), pa.array(starts, pa.int64()), pa.array([d["n"] for d in docs], pa.int64()), found], schema=schema)
 
-    rows = chunks.mapInArrow(lean(run), f"part int, chunk int, doc_id long, at long, n_tokens long, {last}")
+    rows = chunks.withColumn("data", jvmcoder.decoded(spark, F.col("data"))).mapInArrow(lean(run), f"part int, chunk int, doc_id long, at long, n_tokens long, {last}")
     return rows.join(offsets, ["part", "chunk"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", last.split()[0])
 
 
