@@ -12,6 +12,7 @@ import json
 import os
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import jvmcoder, rangecoder
-from .common import fresh, lean, read, slices
+from .common import fresh, lean, lengths, read, slices
 from .registry import query
 from .words import U, mixed, spans_hash
 
@@ -107,10 +108,8 @@ class Known:
             left, at = left[more], (at[more] + 1) & low
         return out
 
-    def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
-        """Distinct keys that aren't there."""
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
+    def add(self, keys: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Distinct keys that aren't there, all their ids one after another, and how many each has."""
         end = int(self.at[self.count])
         if end + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids[:end], np.zeros(2 * (end + len(flat)), np.int32)])
@@ -152,12 +151,34 @@ class Encoder:
         self.plain = rule.get("type") == "ByteLevel" and not rule.get("add_prefix_space") and rule.get("use_regex", True) and not own.get("normalizer")
         self.added = [t["content"] for t in own.get("added_tokens", [])]
         self.known = Known()
+        # bytes of each id, if the vocabulary has every byte, so that ids cover the bytes of texts without gaps
+        vocabulary = self.tokenizer.get_vocab()
+        self.widths = None
+        if self.plain and sum(len(x) == 1 for x in vocabulary) == 256:
+            self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            self.widths[list(vocabulary.values())] = list(map(len, vocabulary))
+
+    def each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of all texts one after another, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(found)), np.int32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As each(), of texts without added tokens: the library gives one list of ids for all, which the texts' bytes part."""
+        if self.widths is None:
+            return self.each(texts)
+        ids = np.array(self.tokenizer.encode_batch_fast([texts], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int32)
+        ends = np.cumsum(lengths(pa.array(texts, pa.large_string())))
+        after = np.cumsum(self.widths[ids])
+        last = np.searchsorted(after, ends)
+        if len(after) != last[-1] + 1 or (after[last] != ends).any():  # not what a byte-level vocabulary gives
+            return self.each(texts)
+        return ids, np.diff(last + 1, prepend=0)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each has."""
         if not self.plain or any(a in t for t in texts for a in self.added):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            return np.array([i for x in found for i in x], np.int32), np.array([len(x) for x in found], np.int64)
+            return self.each(texts)
         text = "".join(texts)
         if not text:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
@@ -174,7 +195,7 @@ class Encoder:
                 self.known = Known()
                 new, first, miss = *np.unique(keys, return_index=True), np.arange(len(keys))
             pieces = [text[begin[k] : end[k]] for k in miss[first].tolist()]
-            self.known.add(new, [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
+            self.known.add(new, *self.pieces(pieces))
             at[miss] = self.known.find(keys[miss])
         start = self.known.at[at]
         size = self.known.at[at + 1] - start

@@ -71,3 +71,15 @@ def test_costs_less_than_numpy(spark, real):
         took.append(time.perf_counter() - start)
     once.unpersist()
     assert min(took) < numpy / 2
+
+
+def test_pieces_in_one_list():
+    """Many pieces at once have the library's ids, each its own; where bytes and ids don't fit, pieces are encoded one by one."""
+    encoder = tokenfile.Encoder(PATH)
+    pieces = [" the", "the", "'s", "  ", "\n\n", " é", "🙂", "　", "12", " ..", "x" * 500, " naïve", "ſ", "the"]
+    want = [encoder.tokenizer.encode(p, add_special_tokens=False).ids for p in pieces]
+    for widths in (encoder.widths, encoder.widths + 1, None):
+        encoder.widths = widths
+        ids, counts = encoder.pieces(pieces)
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert tokenfile.Encoder(PATH).widths is not None
